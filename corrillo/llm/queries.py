@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from corrillo.llm.quality import op3_compression_bands
 from corrillo.llm.sharding import op9_bounded_ring
 
 QUERIES = {
+    "op3_compression_bands": op3_compression_bands,
     "op9_bounded_ring": op9_bounded_ring,
 }
 
