@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
 from corrillo.llm.quality import op3_compression_bands
 from corrillo.llm.sharding import op9_bounded_ring
+from corrillo.llm.urls import OP7_SQL, op7_temporal_list
+from corrillo.llm.warc import OP10_SQL, op10_derivatives
 
 QUERIES = {
+    "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_compression_bands": op3_compression_bands,
+    "op7_temporal_list": op7_temporal_list,
     "op9_bounded_ring": op9_bounded_ring,
+    "op10_derivatives": op10_derivatives,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_snapshot_collapse": OP2_SQL,
+    "op7_temporal_list": OP7_SQL,
+    "op10_derivatives": OP10_SQL,
+}
