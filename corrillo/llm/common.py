@@ -44,3 +44,21 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def bucket_count(n_bytes: int, bucket_bytes: int = BUCKET_BYTES) -> int:
     """Buckets of about bucket_bytes each, so that a bucket fits a task at every size of input."""
     return max(1, math.ceil(n_bytes / bucket_bytes))
+
+
+def row_keys() -> tuple:
+    """k1 and k2: a row's identity by doc_id and text together, never null; equal rows share it."""
+    return (
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("k1"),
+        F.xxhash64(F.col("doc_id").isNull(), "text", F.col("text").isNull()).alias("k2"),
+    )
+
+
+def drop_keys(docs: DataFrame, bad: DataFrame, tag: str, bound: int = 1_000_000) -> DataFrame:
+    """docs without the rows of the keys k1, k2 in bad; these are broadcast up to `bound` keys (16 MB), else shuffled."""
+    bad = written(bad, tag)
+    if bad.limit(bound + 1).count() <= bound:
+        bad = F.broadcast(bad)
+    keyed = docs.select("*", *(k.alias(f"__{n}") for k, n in zip(row_keys(), ("k1", "k2"))))
+    left = keyed.join(bad, (F.col("__k1") == bad.k1) & (F.col("__k2") == bad.k2), "left_anti")
+    return left.drop("__k1", "__k2")

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
+from corrillo.llm.decontaminate import OP1_SQL, op1_positional_index
 from corrillo.llm.quality import op3_compression_bands
 from corrillo.llm.sharding import op9_bounded_ring
 from corrillo.llm.urls import OP7_SQL, op7_temporal_list
 from corrillo.llm.warc import OP10_SQL, op10_derivatives
 
 QUERIES = {
+    "op1_positional_index": op1_positional_index,
     "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_compression_bands": op3_compression_bands,
     "op7_temporal_list": op7_temporal_list,
@@ -17,6 +19,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_positional_index": OP1_SQL,
     "op2_snapshot_collapse": OP2_SQL,
     "op7_temporal_list": OP7_SQL,
     "op10_derivatives": OP10_SQL,
