@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from corrillo.llm.bpe import op6_byte_bpe
 from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
 from corrillo.llm.decontaminate import OP1_SQL, op1_positional_index
 from corrillo.llm.quality import op3_compression_bands
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_compression_bands": op3_compression_bands,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_temporal_list": op7_temporal_list,
     "op9_bounded_ring": op9_bounded_ring,
     "op10_derivatives": op10_derivatives,
