@@ -7,6 +7,7 @@ from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
 from corrillo.llm.decontaminate import OP1_SQL, op1_positional_index
 from corrillo.llm.quality import op3_compression_bands
 from corrillo.llm.sharding import op9_bounded_ring
+from corrillo.llm.suffix import op4_front_coded_sort
 from corrillo.llm.urls import OP7_SQL, op7_temporal_list
 from corrillo.llm.warc import OP10_SQL, op10_derivatives
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_compression_bands": op3_compression_bands,
+    "op4_front_coded_sort": op4_front_coded_sort,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_temporal_list": op7_temporal_list,
     "op9_bounded_ring": op9_bounded_ring,
