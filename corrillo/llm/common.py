@@ -54,11 +54,11 @@ def row_keys() -> tuple:
     )
 
 
-def drop_keys(docs: DataFrame, bad: DataFrame, tag: str, bound: int = 1_000_000) -> DataFrame:
-    """docs without the rows of the keys k1, k2 in bad; these are broadcast up to `bound` keys (16 MB), else shuffled."""
+def drop_keys(docs: DataFrame, bad: DataFrame, tag: str, bound: int = 1_000_000, keys: tuple = ()) -> DataFrame:
+    """docs without the rows whose keys (those of row_keys(), or other two) are k1, k2 in bad; these are broadcast up to `bound` keys (16 MB), else shuffled."""
     bad = written(bad, tag)
     if bad.limit(bound + 1).count() <= bound:
         bad = F.broadcast(bad)
-    keyed = docs.select("*", *(k.alias(f"__{n}") for k, n in zip(row_keys(), ("k1", "k2"))))
+    keyed = docs.select("*", *(k.alias(f"__{n}") for k, n in zip(keys or row_keys(), ("k1", "k2"))))
     left = keyed.join(bad, (F.col("__k1") == bad.k1) & (F.col("__k2") == bad.k2), "left_anti")
     return left.drop("__k1", "__k2")

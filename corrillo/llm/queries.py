@@ -5,6 +5,7 @@ from __future__ import annotations
 from corrillo.llm.bpe import op6_byte_bpe
 from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
 from corrillo.llm.decontaminate import OP1_SQL, op1_positional_index
+from corrillo.llm.minhash import op8_weighted_minhash
 from corrillo.llm.quality import op3_compression_bands
 from corrillo.llm.sharding import op9_bounded_ring
 from corrillo.llm.suffix import op4_front_coded_sort
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_front_coded_sort": op4_front_coded_sort,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_temporal_list": op7_temporal_list,
+    "op8_weighted_minhash": op8_weighted_minhash,
     "op9_bounded_ring": op9_bounded_ring,
     "op10_derivatives": op10_derivatives,
 }
