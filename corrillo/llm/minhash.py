@@ -232,6 +232,7 @@ def verify_large(large: DataFrame) -> DataFrame:
         spread = left.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         right = large.join(left.select("group", "part").distinct().withColumnRenamed("group", "g"), F.col("group") == F.col("g")).drop("g").withColumn("to", F.col("block"))
         on = ("group", "part", "to")
+        spread, right = spread.toDF(*spread.columns), right.toDF(*right.columns)
         return spread.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(verify_blocks, LINKED)
 
     leaders = large.groupBy("group").agg(F.slice(F.array_sort(F.collect_set(F.pmod(F.xxhash64("d1", "d2", F.lit("leader")), F.lit(4096)))), 1, LEADERS).alias("chosen"))
