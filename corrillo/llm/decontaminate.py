@@ -2,12 +2,13 @@
 
 1. Every document word that is also a test term becomes a posting (term, document, position) in a stored table.
 2. The postings give each test term's corpus frequency; each window of an item is found by its rarest term, whose
-   offset-adjusted postings are the candidate alignments (document, item, shift).
+   offset-adjusted postings, intersected with those of the next rarest, are the candidate alignments (document, item,
+   shift).
 3. Round each candidate the offset-adjusted postings of the other terms are intersected; runs of consecutive item
    words as long as a window are phrase matches, windows with PROXIMITY_WORDS of their words in place proximity matches.
 
 A window is WINDOW consecutive item words, or the whole item if it has fewer. The test vocabulary is broadcast only up
-to BROADCAST_TERMS terms (counted first); beyond that it meets the postings by a shuffle join. Postings of hot terms
+to BROADCAST_TERMS terms (counted first), the candidates' documents up to BROADCAST_DOCUMENTS; beyond that they meet the postings by a shuffle join. Postings of hot terms
 are never gathered: they are only counted with a partial aggregation and looked up by (document, term, position).
 
 Defined results: null texts have no words; n_words, hits and items of repeated rows are those of each row for itself;
@@ -26,6 +27,7 @@ from corrillo.llm.common import drop_keys, row_keys, table, written
 WINDOW = 13
 PROXIMITY_WORDS = 10
 BROADCAST_TERMS = 200_000
+BROADCAST_DOCUMENTS = 500_000
 #: A word of either case; the contract's class after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,33 +52,40 @@ def item_terms(benchmark: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The index: tid, k1, k2 (document), pos of every document word that is a test term."""
-    vocabulary = terms.select("term", "tid").distinct()
-    if vocabulary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        vocabulary = F.broadcast(vocabulary)
+    vocabulary = small(terms.select("term", "tid").distinct(), BROADCAST_TERMS)
     tokens = docs.select(*row_keys(), F.posexplode(words(F.col("text"))).alias("pos", "word"))
     return tokens.withColumn("term", lowered(F.col("word"))).join(vocabulary, "term").select("tid", "k1", "k2", "pos")
 
 
 def anchors(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """item, i, tid: the rarest term of each window that can occur at all."""
+    """item, i1, tid1, i2, tid2: the two rarest terms of each window that can occur at all (twice the same in a window of one word)."""
     frequency = index.groupBy("tid").agg(F.count("*").alias("tf"))
     ahead = Window.partitionBy("item").orderBy("i").rowsBetween(0, window - 1)
-    rarest = terms.join(frequency, "tid", "left").withColumn("best", F.min(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "tid")).over(ahead))
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "tid")).over(ahead))
     whole = (F.col("i") + window <= F.col("n")) | ((F.col("n") < window) & (F.col("i") == 0))
-    return rarest.where(whole & (F.col("best.tf") > 0)).select("item", F.col("best.i").alias("i"), F.col("best.tid").alias("tid")).distinct()
+    rarest = terms.join(frequency, "tid", "left").withColumn("r", ranked).where(whole)
+    rarest = rarest.select("item", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b")).where("a.tf > 0")
+    return rarest.select("item", F.col("a.i").alias("i1"), F.col("a.tid").alias("tid1"), F.col("b.i").alias("i2"), F.col("b.tid").alias("tid2")).distinct()
+
+
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """df marked for broadcast if it has no more than `bound` rows."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
 def aligned(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     """k1, k2, item, n, shift, i: item words in place around a candidate alignment (pos = shift + i)."""
-    best = written(anchors(index, terms, window), "decontaminate-anchors")
-    if best.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        best = F.broadcast(best)
-    candidates = index.join(best, "tid").select("k1", "k2", "item", (F.col("pos") - F.col("i")).alias("shift"), F.col("i").alias("anchor")).distinct()
-    candidates = written(candidates, "decontaminate-candidates")
+    best = small(written(anchors(index, terms, window), "decontaminate-anchors"), BROADCAST_TERMS)
+    first = index.join(best, F.col("tid") == F.col("tid1")).select("k1", "k2", "item", (F.col("pos") - F.col("i1")).alias("shift"), "i1", "i2", "tid2")
+    first = first.withColumn("pos2", F.col("shift") + F.col("i2")).where("pos2 >= 0")
+    second = index.join(best.select("tid2").distinct(), F.col("tid") == F.col("tid2"), "left_semi")
+    met = [first[c] == second[c] for c in ("k1", "k2")] + [first.tid2 == second.tid, first.pos2 == second.pos]
+    candidates = written(first.join(second, met, "left_semi").select("k1", "k2", "item", "shift", F.col("i1").alias("anchor")).distinct(), "decontaminate-candidates")
     around = (candidates.item == terms.item) & (F.abs(F.col("i") - F.col("anchor")) < window)
     expected = candidates.join(terms, around).select("k1", "k2", "tid", (F.col("shift") + F.col("i")).alias("pos"), terms.item, "n", "shift", "i").distinct()
-    near = index.join(candidates.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    return near.distinct().join(expected, ["k1", "k2", "tid", "pos"]).select("k1", "k2", "item", "n", "shift", "i")
+    docs = small(written(candidates.select("k1", "k2").distinct(), "decontaminate-documents"), BROADCAST_DOCUMENTS)
+    near = index.join(docs, ["k1", "k2"], "left_semi")
+    return near.join(expected, ["k1", "k2", "tid", "pos"]).select("k1", "k2", "item", "n", "shift", "i").distinct()
 
 
 def phrase_hits(found: DataFrame, window: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from corrillo.llm.bpe import op6_byte_bpe
 from corrillo.llm.chat import OP2_SQL, op2_snapshot_collapse
+from corrillo.llm.classifier import op5_pairwise_ranking
 from corrillo.llm.decontaminate import OP1_SQL, op1_positional_index
 from corrillo.llm.minhash import op8_weighted_minhash
 from corrillo.llm.quality import op3_compression_bands
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_snapshot_collapse": op2_snapshot_collapse,
     "op3_compression_bands": op3_compression_bands,
     "op4_front_coded_sort": op4_front_coded_sort,
+    "op5_pairwise_ranking": op5_pairwise_ranking,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_temporal_list": op7_temporal_list,
     "op8_weighted_minhash": op8_weighted_minhash,
