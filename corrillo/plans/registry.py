@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from corrillo.plans import activity
+from corrillo.plans import activity, sessions  # noqa: F401
+from corrillo.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
-QUERIES = {**activity.QUERIES}
-ORACLE_SQL = {**activity.ORACLE_SQL}
