@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from corrillo.plans import activity, sessions, words  # noqa: F401
+from corrillo.plans import activity, patterns, people, sessions, words  # noqa: F401
 from corrillo.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
