@@ -5,7 +5,7 @@
    offset-adjusted postings, intersected with those of the next rarest, are the candidate alignments (document, item,
    shift).
 3. Round each candidate the offset-adjusted postings of the other terms are intersected; runs of consecutive item
-   words as long as a window are phrase matches, windows with PROXIMITY_WORDS of their words in place proximity matches.
+   words as long as a window are phrase matches, windows with PROXIMITY_WORDS of their words in place (the two rarest among them) proximity matches.
 
 A window is WINDOW consecutive item words, or the whole item if it has fewer. The test vocabulary is broadcast only up
 to BROADCAST_TERMS terms (counted first), the candidates' documents up to BROADCAST_DOCUMENTS; beyond that they meet the postings by a shuffle join. Postings of hot terms
