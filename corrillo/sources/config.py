@@ -1,0 +1,82 @@
+"""Settings: the parameter file, the environment, and what to do with files that exist."""
+
+from __future__ import annotations
+
+import functools
+import logging
+import os
+import re
+import time
+from collections.abc import Callable
+from enum import Enum
+from pathlib import Path
+
+import yaml
+
+SLUG = re.compile(r"[a-z0-9]+(?:_[a-z0-9]+)*")
+log = logging.getLogger("corrillo")
+
+
+class Existing(Enum):
+    """What happens to a file that is there: kept, replaced, or an error."""
+
+    SKIP = "skip"
+    OVERWRITE = "overwrite"
+    ERROR = "error"
+
+    def writes(self, path: Path) -> bool:
+        if not path.exists() or self is Existing.OVERWRITE:
+            return True
+        if self is Existing.ERROR:
+            raise FileExistsError(path)
+        return False
+
+
+def load_params(path: Path) -> dict:
+    return yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+
+
+def valid_chat(name: str) -> str:
+    if not SLUG.fullmatch(name):
+        raise ValueError(f"not a chat name: {name!r}")
+    return name
+
+
+def active_chat(params: dict, argument: str | None = None) -> str:
+    """The argument, else CHAT of the environment, else the parameter."""
+    return valid_chat(argument or os.environ.get("CHAT") or params["chat"])
+
+
+def anonymize_settings(params: dict, chat: str) -> dict:
+    """The defaults under those of the chat."""
+    settings = params.get("anonymize", {})
+    return {**settings.get("defaults", {}), **settings.get("chats", {}).get(chat, {})}
+
+
+def load_salt(env_file: Path | None = None) -> bytes:
+    """ANON_SALT of the environment or of a .env file; without it nothing can be anonymised."""
+    salt = os.environ.get("ANON_SALT", "")
+    if not salt and env_file and env_file.exists():
+        found = re.search(r"^ANON_SALT=(.*)$", env_file.read_text(encoding="utf-8"), re.MULTILINE)
+        salt = found[1].strip("\"' ") if found else ""
+    if not salt.strip():
+        raise ValueError("ANON_SALT is not set")
+    return salt.strip().encode()
+
+
+def logged(f: Callable) -> Callable:
+    """Logs a step's start, its failure, or its end with the time it took."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        began = time.perf_counter()
+        log.info("%s started", f.__name__)
+        try:
+            out = f(*args, **named)
+        except Exception:
+            log.exception("%s failed", f.__name__)
+            raise
+        log.info("%s completed in %.0f ms", f.__name__, 1000 * (time.perf_counter() - began))
+        return out
+
+    return run
