@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,11 @@ def drop_keys(docs: DataFrame, bad: DataFrame, tag: str, bound: int = 1_000_000,
     keyed = docs.select("*", *(k.alias(f"__{n}") for k, n in zip(keys or row_keys(), ("k1", "k2"))))
     left = keyed.join(bad, (F.col("__k1") == bad.k1) & (F.col("__k2") == bad.k2), "left_anti")
     return left.drop("__k1", "__k2")
+
+
+def rows_of(names: str, rows: list[tuple]) -> pa.Table:
+    """An Arrow table of rows, its columns named and typed as in "a long, b binary"."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    fields = [tuple(f.split(" ")) for f in names.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])

@@ -1,7 +1,7 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the set of its shingles of five words, each weighing its count times a smoothed inverse document
-frequency (IDF_BASE in every document, 1 in one only). Two documents are linked from THRESHOLD weighted Jaccard
+A document is the set of its shingles of five words, each weighing 1 + ln(count) times a smoothed inverse document
+frequency (IDF_BASE in every document, 1 in one only, so that large groups of near copies stay similar). Two documents are linked from THRESHOLD weighted Jaccard
 similarity (sum of least weights by sum of largest); a class is what links connect, named by its smallest doc_id.
 
 1. Buckets of documents send their shingles to the owners of hash ranges and get back in how many documents each
@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrillo.llm.common import bucket_count, drop_keys, table, written
+from corrillo.llm.common import bucket_count, drop_keys, rows_of, table, written
 from corrillo.llm.packing import pack, pack_sorted, split_by_range, unpack, unpack_sorted
 from corrillo.llm.shingles import mixed, shingles
 
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
-IDF_BASE = 0.67
+IDF_BASE = 0.85
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 24 << 20
 LEADERS = 16
@@ -47,13 +47,6 @@ CLASSED = "d1 long, d2 long, class_id long"
 LINKED = "a1 long, a2 long, a_id long, b1 long, b2 long, b_id long"
 
 
-def rows_of(names: str, rows: list[tuple]) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    fields = [tuple(f.split(" ")) for f in names.split(", ")]
-    columns = list(zip(*rows)) or [()] * len(fields)
-    return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
-
-
 def send_shingles(parts: int, bits: int):
     def run(key: tuple, bucket: pa.Table) -> pa.Table:
         _, codes, _ = shingles([x or b"" for x in bucket["data"].to_pylist()], bits)
@@ -115,6 +108,10 @@ def idf(frequency: np.ndarray, n_docs: int) -> np.ndarray:
     return IDF_BASE + (1 - IDF_BASE) * (np.log(max(2, n_docs)) - np.log(frequency)) / np.log(max(2, n_docs))
 
 
+def tf(counts: np.ndarray) -> np.ndarray:
+    return 1 + np.log(counts)
+
+
 def sample_bucket(n_docs: int, bits: int):
     def run(bucket: pa.Table, counted: pa.Table) -> pa.Table:
         copies: dict[tuple[int, int], tuple[int, bytes]] = {}
@@ -129,7 +126,7 @@ def sample_bucket(n_docs: int, bits: int):
         rows = sorted(zip(counted["part"].to_pylist(), counted["counts"].to_pylist()))
         total = np.concatenate([np.empty(0, np.int64), *(unpack(c, np.int64) for _, c in rows)])
         frequency = total[np.searchsorted(np.unique(codes), codes)]
-        weights = (counts * idf(frequency, n_docs)).astype(np.float32)
+        weights = (tf(counts) * idf(frequency, n_docs)).astype(np.float32)
         n = len(texts)
         whole = np.bincount(number, weights, n)
         shared = np.bincount(number, weights * (frequency > 1), n)

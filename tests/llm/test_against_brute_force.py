@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain Python over whole small tables."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -63,11 +64,12 @@ def classes_by_force(rows):
         sets[i] = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter()
     df = Counter(k for s in sets.values() for k in s)
     weigh = {k: float(minhash.idf(np.array(n), len(rows))) for k, n in df.items()}
+    sets = {i: {k: 1 + math.log(n) for k, n in s.items()} for i, s in sets.items()}
     total = {i: sum(n * weigh[k] for k, n in s.items()) for i, s in sets.items()}
     label = {i: i for i in sets}
     for i, s in sets.items():
         for j, t in sets.items():
-            both = sum(min(n, t[k]) * weigh[k] for k, n in s.items())
+            both = sum(min(n, t.get(k, 0)) * weigh[k] for k, n in s.items())
             if i < j and both and both / (total[i] + total[j] - both) >= minhash.THRESHOLD and label[i] != label[j]:
                 low, high = sorted((label[i], label[j]))
                 label = {k: low if v == high else v for k, v in label.items()}
