@@ -38,5 +38,5 @@ def chat_timestamp(header: Column) -> Column:
 
     Two-digit years are 20yy.
     """
-    plain = F.replace(F.replace(F.replace(header, F.lit(" "), F.lit(" ")), F.lit("a.m."), F.lit("AM")), F.lit("p.m."), F.lit("PM"))
+    plain = F.replace(F.replace(F.replace(header, F.lit("\u202f"), F.lit(" ")), F.lit("a.m."), F.lit("AM")), F.lit("p.m."), F.lit("PM"))
     return F.try_to_timestamp(plain, F.lit("d/M/yy, h:mm:ss a")).cast("timestamp_ntz")

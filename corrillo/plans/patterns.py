@@ -20,7 +20,7 @@ def line_endings(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
     return table(spark, sf_dir, "documents").select(
         "doc_id", F.length(text).cast("long").alias("chars"), t.occurrences(text, "\n").alias("line_feeds"), t.occurrences(text, "\r").alias("returns"), t.occurrences(text, "\r\n").alias("pairs"),
-        text.startswith("﻿").alias("marked"))
+        text.startswith("\ufeff").alias("marked"))
 
 
 @query("SELECT doc_id, CAST(i AS BIGINT) AS record_no, records[i] AS record FROM (SELECT doc_id, string_split(text, chr(10)) AS records FROM documents) t, range(1, len(records) + 1) r(i) WHERE records[i] <> ''")
@@ -99,4 +99,4 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def emoji_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emojis of all texts, with joined sequences and skin tones; the tables' texts have few."""
     found = table(spark, sf_dir, "conversations").select(F.explode(t.emojis(F.col("text"))).alias("emoji"))
-    return found.agg(F.count("*").alias("emojis"), F.count_distinct("emoji").alias("distinct_emojis"), F.count_if(F.col("emoji").contains("‍")).alias("joined"), F.count_if(F.col("emoji").rlike(r"[\x{1F3FB}-\x{1F3FF}]")).alias("toned"))
+    return found.agg(F.count("*").alias("emojis"), F.count_distinct("emoji").alias("distinct_emojis"), F.count_if(F.col("emoji").contains("\u200d")).alias("joined"), F.count_if(F.col("emoji").rlike(r"[\x{1F3FB}-\x{1F3FF}]")).alias("toned"))

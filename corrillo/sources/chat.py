@@ -19,7 +19,7 @@ DATED = rf"^{LRM}?\[(\d{{2}})/(\d{{2}})/(\d{{2}}), "
 def records(spark: SparkSession, path: str) -> DataFrame:
     """record_no (from 1, empty records counted) and record of a file whose records end in CRLF; a lone LF is text.
 
-    The file is split by the reader, so a large one is many tasks: records are numbered by their offsets' order.
+    An export is one file and is read whole, as a lone line feed does not end a record; many chats are many tasks.
     """
     invalid = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
     if invalid:
