@@ -9,7 +9,6 @@ from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corrillo.functions.names import name_forms, normal_name
 from corrillo.operators import quality, silver

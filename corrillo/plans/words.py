@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrillo.functions.text import CHAT_STOP_WORDS, LAUGH, STOP_WORDS, is_laugh, is_stop_word
+from corrillo.functions.text import CHAT_STOP_WORDS, STOP_WORDS, is_laugh, is_stop_word
 from corrillo.plans.base import query, table, words
 
 #: Thresholds of the distinctive vocabulary: content words of a sender, uses of a word, uses by the sender.

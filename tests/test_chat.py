@@ -9,7 +9,7 @@ from chat_export import ANA, BETO, GROUP, RECORDS, export
 
 from corrillo import jobs
 from corrillo.functions.names import name_id
-from corrillo.operators import quality, silver
+from corrillo.operators import quality
 from corrillo.sources import chat, config, ingest
 
 SALT = b"salt of the tests"
