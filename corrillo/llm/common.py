@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +74,30 @@ def rows_of(names: str, rows: list[tuple]) -> pa.Table:
     fields = [tuple(f.split(" ")) for f in names.split(", ")]
     columns = list(zip(*rows)) or [()] * len(fields)
     return pa.Table.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def dealt(rows: DataFrame, bucket: str) -> DataFrame:
+    """bucket, packed: the rows of each Arrow batch that go to one bucket, compressed together (texts cross the network so)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            to = batch.column(at).to_numpy()
+            order = np.argsort(to, kind="stable")
+            cuts = np.append(np.flatnonzero(np.diff(to[order], prepend=-1)), len(order))
+            packed = []
+            for a, b in zip(cuts, cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema) as stream:
+                    stream.write_batch(batch.take(pa.array(order[a:b])))
+                packed.append(press.compress(sink.getvalue()))
+            yield pa.RecordBatch.from_arrays([pa.array(to[order][cuts[:-1]], pa.int64()), pa.array(packed, pa.binary())], names=["bucket", "packed"])
+
+    at = rows.columns.index(bucket)
+    return rows.mapInArrow(run, "bucket long, packed binary")
+
+
+def unpacked(bucket: pa.Table) -> pa.Table:
+    """The rows of a bucket; a batch at a time is opened."""
+    unzip = zstandard.ZstdDecompressor()
+    return pa.concat_tables([pa.ipc.open_stream(unzip.decompress(x.as_py())).read_all() for x in bucket["packed"]])

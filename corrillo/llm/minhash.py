@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrillo.llm.common import bucket_count, drop_keys, rows_of, table, written
+from corrillo.llm.common import bucket_count, dealt, drop_keys, rows_of, table, unpacked, written
 from corrillo.llm.packing import pack, pack_sorted, split_by_range, unpack, unpack_sorted
 from corrillo.llm.shingles import mixed, shingles
 
@@ -49,7 +49,7 @@ LINKED = "a1 long, a2 long, a_id long, b1 long, b2 long, b_id long"
 
 def send_shingles(parts: int, bits: int):
     def run(key: tuple, bucket: pa.Table) -> pa.Table:
-        _, codes, _ = shingles([x or b"" for x in bucket["data"].to_pylist()], bits)
+        _, codes, _ = shingles([x or b"" for x in unpacked(bucket)["data"].to_pylist()], bits)
         keys, counts = np.unique(codes, return_counts=True)
         cuts = split_by_range(keys << U64(64 - bits), parts)
         return rows_of(SENT, [(p, key[0].as_py(), pack_sorted(keys[a:b]), pack(counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
@@ -115,6 +115,7 @@ def tf(counts: np.ndarray) -> np.ndarray:
 def sample_bucket(n_docs: int, bits: int):
     def run(bucket: pa.Table, counted: pa.Table) -> pa.Table:
         copies: dict[tuple[int, int], tuple[int, bytes]] = {}
+        bucket = unpacked(bucket)
         for d1, d2, doc_id, data in zip(*(bucket[c].to_pylist() for c in ("d1", "d2", "id", "data"))):
             doc_id = NO_ID if doc_id is None else doc_id
             if (d1, d2) not in copies or doc_id < copies[d1, d2][0]:
@@ -253,12 +254,13 @@ def classes(docs: DataFrame, n_bytes: int, n_docs: int) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(bucket_count(n_bytes, BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(64, max(40, int(np.ceil(np.log2(max(2, n_bytes)))) + 20))
-    dealt = docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), *text_keys(), F.col("text").cast("binary").alias("data"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long").alias("bucket"),
     )
-    counted = dealt.groupBy("bucket").applyInArrow(send_shingles(buckets, bits), SENT).groupBy("part").applyInArrow(count_shingles, COUNTED)
-    sampled = written(dealt.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(sample_bucket(n_docs, bits), SAMPLED), "near-sampled")
+    texts_dealt = dealt(rows, "bucket")
+    counted = texts_dealt.groupBy("bucket").applyInArrow(send_shingles(buckets, bits), SENT).groupBy("part").applyInArrow(count_shingles, COUNTED)
+    sampled = written(texts_dealt.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(sample_bucket(n_docs, bits), SAMPLED), "near-sampled")
     texts = sampled.groupBy("d1", "d2").agg(F.min("doc_id").alias("class_id"))
     hubs = sampled.select(F.col("d1").alias("node"), F.posexplode("bands").alias("band", "key")).distinct()
     shared = hubs.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -284,7 +286,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) of every document, with k1, k2 and the text's d1, d2."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    found = classes(docs, size[1], size[0])
+    # a table of its own, so that the join can split a text that very many documents have
+    found = written(classes(docs, size[1], size[0]), "near-classes")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys())
     own = F.coalesce("class_id", F.coalesce("doc_id", F.lit(NO_ID)))
     return named.join(found, ["d1", "d2"], "left").select("doc_id", F.when(own != NO_ID, own).alias("class_id"), "d1", "d2")
