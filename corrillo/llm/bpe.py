@@ -1,14 +1,14 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-1. Every text is cut into pre-tokens, which are numbered within a chunk of about CHUNK_BYTES of text: a chunk keeps its
-   distinct words once and each document as the sequence of their numbers, in order of position. One stored table.
-2. The chunks' words meet in a distinct; each word of the corpus is encoded once.
-3. Its ids meet the token-byte table (as many rows as the vocabulary has, broadcast), which gives the decoded bytes.
-4. Words go back to their chunks by a join (one row per chunk and word, so a frequent word is no hot key), and each
-   document is put together by position.
+1. Documents are dealt to buckets of bounded size. A bucket cuts its texts into pre-tokens and sends its distinct words,
+   packed, to the owners of the words' hash ranges.
+2. An owner encodes each distinct word of the corpus once and answers every bucket with the ids, in the order asked.
+   A frequent word comes at most once from a bucket, so it is no hot key.
+3. The bucket joins the ids back to its pre-tokens and puts each document together by position; decoding looks every id
+   up in the token-byte table (as many entries as the vocabulary has, broadcast).
 
-Rows cross the network as packed sequences and dictionaries, never as one row per token. A task holds one chunk (or
-one longer document) and its dictionary.
+Words and ids cross the network packed, never as a row per token. Nothing is decided by the order of rows, so that a
+lost task gives the same when it runs again. A task holds one bucket, or one longer document.
 
 Defined results: null texts count as empty (0 tokens, digests of the empty string); repeated rows are encoded each for
 itself; an empty table gives an empty result; other columns are dropped.
@@ -18,25 +18,27 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
-from collections.abc import Iterator
+import zlib
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import tiktoken
 import zstandard
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrillo.llm.common import table, written
+from corrillo.llm.common import bucket_count, dealt, rows_of, table, text_bytes, unpacked
+from corrillo.llm.packing import pack, unpack
 
-CHUNK_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: White space as Unicode has it (fixed values); Python's \s also takes U+001C to U+001F.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNKS = "chunk string, doc_ids array<long>, lengths array<long>, codes binary, words array<binary>"
+SENT = "part long, bucket long, lengths binary, words binary"
+ANSWERED = "bucket long, part long, sizes binary, ids binary"
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -45,104 +47,117 @@ def splitter(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+_encoders: dict[str, tiktoken.Encoding] = {}
+
+
+def encoder(shared: Broadcast, name: str, pattern: str) -> tiktoken.Encoding:
+    """The encoding of the broadcast vocabulary `name`, built once in a worker."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={})
+    return _encoders[name]
+
+
 class Numbers(dict):
-    """Numbers words in order of first appearance."""
+    """Numbers words in the order of their first appearance."""
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
         return number
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as lines:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+def bucket_texts(bucket: pa.Table) -> tuple[list, list[str]]:
+    """doc_ids and texts in one order, whatever order the rows came in, so that questions and answers agree."""
+    rows = unpacked(bucket)
+    pairs = sorted(zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    return [i for i, _ in pairs], [t or "" for _, t in pairs]
+
 
+def by_owner(words: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words' numbers grouped by owner, and where each owner's begin and end."""
+    owners = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+    order = np.argsort(owners, kind="stable")
+    return order, np.searchsorted(owners[order], np.arange(parts + 1))
 
-def chunked(docs: DataFrame, pattern: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Documents as sequences of word numbers, a row per chunk."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def send_words(parts: int, pattern: str):
+    def run(key: tuple, bucket: pa.Table) -> pa.Table:
         find, press = splitter(pattern).findall, zstandard.ZstdCompressor(level=3)
-        numbers, ids, parts, held = Numbers(), [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            codes = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-            columns = [[uuid.uuid4().hex], [ids], [[len(p) for p in parts]], [press.compress(codes.tobytes())], [[w.encode() for w in numbers]]]
-            kinds = pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["chunk", "doc_ids", "lengths", "codes", "words"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                text = text.as_py() or ""
-                ids.append(doc_id.as_py())
-                parts.append(np.fromiter(map(numbers.__getitem__, find(text)), np.uint32))
-                held += len(text)
-                if held >= chunk_bytes:
-                    yield packed()
-                    numbers, ids, parts, held = Numbers(), [], [], 0
-        if ids:
-            yield packed()
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
-
-
-def encoded_words(chunks: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """word, ids of every distinct word, each encoded once."""
-    shared = chunks.sparkSession.sparkContext.broadcast(ranks)  # as many entries as the vocabulary
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=shared.value, special_tokens={}).encode_ordinary
-        for frame in frames:
-            yield pd.DataFrame({"word": frame["word"], "ids": [encode(w.decode()) for w in map(bytes, frame["word"])]})
-
-    return chunks.select(F.explode("words").alias("word")).distinct().mapInPandas(run, "word binary, ids array<int>")
-
-
-def decoded_words(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """word, n (ids), ids (decimal, comma-joined), decoded (null where it is the word itself), through the token-byte table."""
-    tokens = encoded.sparkSession.createDataFrame([(i, token) for token, i in ranks.items()], "id int, token binary")
-    pieces = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(F.broadcast(tokens), "id")
-    whole = pieces.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("at", "id", "token"))).alias("p"))
-    decoded = F.aggregate("p", F.lit(b""), lambda all, p: F.concat(all, p.token))
-    return whole.select(
-        "word", F.size("p").alias("n"),
-        F.array_join(F.transform("p", lambda p: p.id.cast("string")), ",").alias("ids"),
-        F.when(decoded != F.col("word"), decoded).alias("decoded"),
-    )
-
-
-def put_together(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """The contract's columns of every document."""
-    replies = chunks.select(F.col("chunk").alias("home"), F.posexplode("words").alias("number", "word")).join(words, "word").select("home", "number", "n", "ids", "decoded")
-
-    def run(held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        words: dict[str, None] = {}
+        for text in bucket_texts(bucket)[1]:
+            words.update(dict.fromkeys(find(text)))
+        encoded = [w.encode() for w in words]
+        order, cuts = by_owner(encoded, parts)
+        rows = []
+        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if a < b:
+                own = [encoded[i] for i in order[a:b].tolist()]
+                rows.append((part, key[0].as_py(), pack(np.array([len(w) for w in own], np.uint32)), press.compress(b"".join(own))))
+        return rows_of(SENT, rows)
+
+    return run
+
+
+def encode_words(shared: Broadcast, name: str, pattern: str):
+    def run(sent: pa.Table) -> pa.Table:
+        encode = encoder(shared, name, pattern).encode_ordinary
+        unzip, known, rows = zstandard.ZstdDecompressor(), {}, []
+        for bucket, part, lengths, words in zip(*(sent[c].to_pylist() for c in ("bucket", "part", "lengths", "words"))):
+            data, at, answer = unzip.decompress(words), 0, []
+            for n in unpack(lengths, np.uint32).tolist():
+                word = data[at : at + n]
+                at += n
+                if (ids := known.get(word)) is None:
+                    ids = known[word] = encode(word.decode())
+                answer.append(ids)
+            sizes = np.fromiter(map(len, answer), np.uint32, len(answer))
+            rows.append((bucket, part, pack(sizes), pack(np.fromiter(chain.from_iterable(answer), np.uint32, int(sizes.sum())))))
+        return rows_of(ANSWERED, rows)
+
+    return run
+
+
+def put_together(shared: Broadcast, parts: int, pattern: str):
+    def run(bucket: pa.Table, answers: pa.Table) -> pa.Table:
+        find, numbers = splitter(pattern).findall, Numbers()
+        doc_ids, texts = bucket_texts(bucket)
+        codes = [np.fromiter(map(numbers.__getitem__, find(text)), np.uint32) for text in texts]
+        order, _ = by_owner([w.encode() for w in numbers], parts)
+        rows = sorted(zip(*(answers[c].to_pylist() for c in ("part", "sizes", "ids"))))
+        sizes, ids = (np.concatenate([np.empty(0, np.uint32), *(unpack(r[k], np.uint32) for r in rows)]) for k in (1, 2))
+        tokens = {i: (str(i).encode(), token) for token, i in shared.value.items()}
+        n, listed, decoded = np.zeros(len(order), np.int64), [b""] * len(order), [b""] * len(order)
+        n[order] = sizes
+        ends, ids = np.cumsum(sizes).tolist(), ids.tolist()
+        for number, size, end in zip(order.tolist(), sizes.tolist(), ends):
+            own = [tokens[i] for i in ids[end - size : end]]
+            listed[number] = b",".join([t[0] for t in own])
+            decoded[number] = b"".join([t[1] for t in own])
         out = []
-        for row in held.itertuples(index=False):
-            known = known.sort_values("number")
-            sizes = known["n"].to_numpy(np.int64)
-            ids = [x.encode() for x in known["ids"]]
-            decoded = [bytes(w if d is None else d) for w, d in zip(row.words, known["decoded"])]
-            codes, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.codes), np.uint32), 0
-            for doc_id, length in zip(row.doc_ids, row.lengths):
-                own = codes[at : at + length]
-                at += length
-                listed = own.tolist()
-                n = int(sizes[own].sum()) if length else 0
-                out.append((
-                    None if pd.isna(doc_id) else int(doc_id), n,
-                    hashlib.sha256(b",".join([ids[c] for c in listed])).hexdigest(),
-                    hashlib.sha256(b"".join([decoded[c] for c in listed])).hexdigest(),
-                ))
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]).astype({"doc_id": "Int64"})
-
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("home")).applyInPandas(run, RESULT)
+        for doc_id, own in zip(doc_ids, codes):
+            at = own.tolist()
+            digests = (hashlib.sha256(by.join([known[k] for k in at])).hexdigest() for by, known in ((b",", listed), (b"", decoded)))
+            out.append((doc_id, int(n[own].sum()), *digests))
+        return rows_of(RESULT, out)
+
+    return run
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Encodes and decodes every text by the ranks in the file `vocabulary`, cut by `pattern`."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    spark = docs.sparkSession
+    parts = max(bucket_count(text_bytes(docs), BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranks = read_ranks(vocabulary)
-    chunks = written(chunked(docs, pattern), "bpe-chunks")
-    return put_together(chunks, decoded_words(encoded_words(chunks, ranks, pattern), ranks))
+    shared, name = spark.sparkContext.broadcast(ranks), hashlib.sha256(b"".join(ranks)).hexdigest()  # as many entries as the vocabulary
+    buckets = dealt(docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("long")), "bucket")
+    answers = buckets.groupBy("bucket").applyInArrow(send_words(parts, pattern), SENT).groupBy("part").applyInArrow(encode_words(shared, name, pattern), ANSWERED)
+    return buckets.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(put_together(shared, parts, pattern), RESULT)
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
