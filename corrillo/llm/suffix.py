@@ -29,30 +29,26 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corrillo.llm.anchors import GRAM, SPAN, SPREAD, anchors_of_all
-from corrillo.llm.common import bucket_count, table, text_bytes
+from corrillo.llm.common import bucket_count, dealt, rows_of, table, text_bytes, unpacked
 from corrillo.llm.losertree import merge
 from corrillo.llm.packing import pack, pack_sorted, split_by_range, unpack, unpack_sorted
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 6 << 20
+FLUSH_KEYS = 16_384
 LEFT = SPREAD - 1  # bytes to the left of an anchor that its strings can hold
 KEY = SPAN + LEFT + 2
 NO_ID = -(1 << 63)
 
-SENT = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary())])
-ANSWERED = pa.schema([("bucket", pa.int64()), ("keys", pa.binary())])
-RUN = pa.schema([("part", pa.int64()), ("bucket", pa.int64()), ("kind", pa.int32()), ("lcps", pa.binary()), ("rests", pa.binary()), ("ids", pa.binary()), ("places", pa.binary())])
-COVERED = pa.schema([("bucket", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
+SENT = "part long, bucket long, keys binary"
+ANSWERED = "bucket long, keys binary"
+RUN = "part long, bucket long, kind int, lcps binary, rests binary, ids binary, places binary"
+COVERED = "bucket long, starts binary, ends binary"
 RUNS, SETTLED = 0, 1
 SPANS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def rows_of(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(schema), schema.types)], schema=schema)
-
-
 def bucket_texts(bucket: pa.Table) -> tuple[list[int], np.ndarray, list[bytes]]:
     """The rows' order by doc_id and text, which is the same in every step; doc_ids and texts in that order."""
     ids = [NO_ID if x is None else x for x in bucket["__id"].to_pylist()]
@@ -89,7 +85,7 @@ def prefix_lengths(keys: np.ndarray) -> np.ndarray:
 
 def send_grams(parts: int):
     def run(key: tuple, bucket: pa.Table) -> pa.Table:
-        grams = np.unique(anchors_of_all(bucket_texts(bucket)[2])[2])
+        grams = np.unique(anchors_of_all(bucket_texts(unpacked(bucket))[2])[2])
         cuts = split_by_range(grams, parts)
         return rows_of(SENT, [(p, key[0].as_py(), pack_sorted(grams[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
 
@@ -99,13 +95,13 @@ def send_grams(parts: int):
 def answer_grams(sent: pa.Table) -> pa.Table:
     """To each bucket those of its grams that another bucket has too."""
     lists = [unpack_sorted(k) for k in sent["keys"].to_pylist()]
-    keys, source = np.concatenate(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keys = np.concatenate(lists)
     order = np.argsort(keys, kind="stable")
     equal = keys[order][1:] == keys[order][:-1]
     shared = np.zeros(len(keys), bool)
     shared[order] = np.append(equal, False) | np.insert(equal, 0, False)
-    buckets = sent["bucket"].to_pylist()
-    return rows_of(ANSWERED, [(b, pack_sorted(x[shared[source == i]])) for i, (b, x) in enumerate(zip(buckets, lists)) if shared[source == i].any()])
+    answers = [x[own] for x, own in zip(lists, np.split(shared, np.cumsum([len(x) for x in lists])[:-1]))]
+    return rows_of(ANSWERED, [(b, pack_sorted(x)) for b, x in zip(sent["bucket"].to_pylist(), answers) if len(x)])
 
 
 def send_runs(parts: int):
@@ -113,7 +109,7 @@ def send_runs(parts: int):
         if not len(bucket):
             return rows_of(RUN, [])
         name = bucket["bucket"][0].as_py()
-        _, ids, texts = bucket_texts(bucket)
+        _, ids, texts = bucket_texts(unpacked(bucket))
         number, at, gram, first, last, data, _ = anchors_of_all(texts)
         elsewhere = np.sort(np.concatenate([np.empty(0, np.uint64), *map(unpack_sorted, answers["keys"].to_pylist())]))
         doc = ids[number]
@@ -188,8 +184,17 @@ def covered_offsets(keys: np.ndarray, lcps: np.ndarray, smallest: np.ndarray) ->
     return least, most
 
 
+def settle(keys: list[bytes], lcps: list[int], which: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest covered offset of each entry: which of the sorted distinct keys it has, and under what doc_id."""
+    matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), KEY)
+    smallest = np.minimum.reduceat(doc, np.flatnonzero(np.diff(which, prepend=-1)))
+    least, most = covered_offsets(matrix, np.array(lcps), smallest)
+    whole = doc > smallest[which]
+    return np.where(whole, matrix[which, -2], least[which]), np.where(whole, matrix[which, -1], most[which])
+
+
 def merge_runs(sent: pa.Table) -> pa.Table:
-    """Ranges covered, per bucket."""
+    """Ranges covered, per bucket. Keys are held until the gram changes and FLUSH_KEYS have come."""
     rows = sorted(sent.to_pylist(), key=lambda r: r["bucket"])
     out = [(r["bucket"], r["ids"], r["places"]) for r in rows if r["kind"] == SETTLED]
     rows = [r for r in rows if r["kind"] == RUNS]
@@ -197,77 +202,90 @@ def merge_runs(sent: pa.Table) -> pa.Table:
         return rows_of(COVERED, out)
     press = zstandard.ZstdDecompressor()
     runs = [front_coded(unpack(r["lcps"], np.uint8).tolist(), press.decompress(r["rests"]), i) for i, r in enumerate(rows)]
-    ids, places = [unpack(r["ids"], np.int64) for r in rows], [unpack(r["places"], np.int64) for r in rows]
-    starts = np.cumsum([0, *map(len, ids)])
+    counts = [len(unpack(r["lcps"], np.uint8)) for r in rows]
+    ids, places = (np.concatenate([unpack(r[c], np.int64) for r in rows]) for c in ("ids", "places"))
+    starts = np.cumsum([0, *counts]).tolist()
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     keys, lcps, entry, which = [], [], [], []
+
+    def flush() -> None:
+        found = np.array(entry)
+        least, most = settle(keys, lcps, np.array(which), ids[found])
+        hit = np.flatnonzero(least <= most)
+        hits.append((found[hit], places[found[hit]] - most[hit], places[found[hit]] - least[hit] + SPAN))
+        for held in (keys, lcps, entry, which):
+            held.clear()
+
     for lcp, key, (run, i) in merge(runs):
+        if lcp < GRAM and len(keys) >= FLUSH_KEYS:
+            flush()
         if lcp < KEY or not keys:
             keys.append(key)
-            lcps.append(lcp)
+            lcps.append(lcp if len(keys) > 1 else 0)
         entry.append(starts[run] + i)
         which.append(len(keys) - 1)
-    entry, which = np.array(entry), np.array(which)
-    doc, place = np.concatenate(ids)[entry], np.concatenate(places)[entry]
-    matrix = np.frombuffer(b"".join(keys), np.uint8).reshape(len(keys), KEY)
-    smallest = np.minimum.reduceat(doc, np.flatnonzero(np.diff(which, prepend=-1)))
-    least, most = covered_offsets(matrix, np.array(lcps), smallest)
-    whole = doc > smallest[which]
-    least = np.where(whole, matrix[which, -2], least[which])
-    most = np.where(whole, matrix[which, -1], most[which])
-    run = np.searchsorted(starts, entry, side="right") - 1
-    for i, r in enumerate(rows):
-        own = np.flatnonzero((run == i) & (least <= most))
-        if len(own):
-            out.append((r["bucket"], pack(place[own] - most[own]), pack(place[own] - least[own] + SPAN)))
+    flush()
+    at, begins, ends = (np.concatenate(x) for x in zip(*hits))
+    order = np.argsort(at, kind="stable")
+    cuts = np.searchsorted(at[order], starts)
+    for r, a, b in zip(rows, cuts, cuts[1:]):
+        if a < b:
+            own = order[a:b]
+            out.append((r["bucket"], pack(begins[own]), pack(ends[own])))
     return rows_of(COVERED, out)
 
 
 def removed_bytes(texts: list[bytes], covered: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The texts end to end, which of their bytes go, and the texts' offsets."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
-    change = np.zeros(offsets[-1] + 1, np.int32)
-    for starts, ends in zip(covered["starts"].to_pylist(), covered["ends"].to_pylist()):
-        change += np.bincount(unpack(starts, np.int64), minlength=len(change)).astype(np.int32)
-        change -= np.bincount(unpack(ends, np.int64), minlength=len(change)).astype(np.int32)
-    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(change)[:-1] > 0, offsets
+    starts, ends = (np.concatenate([np.empty(0, np.int64), *(unpack(x, np.int64) for x in covered[c].to_pylist())]) for c in ("starts", "ends"))
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    apart = np.flatnonzero(starts[1:] > ends[:-1]) + 1  # ranges that touch or overlap are one
+    change = np.zeros(offsets[-1] + 1, np.int8)
+    if len(starts):
+        change[starts[np.insert(apart, 0, 0)]] = 1
+        change[ends[np.append(apart - 1, len(ends) - 1)]] = -1
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(change[:-1], dtype=np.int8) > 0, offsets
 
 
 def report_spans(bucket: pa.Table, covered: pa.Table) -> pa.Table:
-    _, ids, texts = bucket_texts(bucket)
+    _, ids, texts = bucket_texts(unpacked(bucket))
     data, gone, offsets = removed_bytes(texts, covered)
     rows = []
     for doc_id, a, b in zip(ids.tolist(), offsets, offsets[1:]):
         own = gone[a:b]
         spans = int(np.count_nonzero(own[1:] & ~own[:-1]) + (own[:1].any()))
         rows.append((None if doc_id == NO_ID else doc_id, int(b - a), int(own.sum()), spans, hashlib.sha256(data[a:b][~own].tobytes()).hexdigest()))
-    return rows_of(pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string())]), rows)
+    return rows_of(SPANS, rows)
 
 
 def cut_texts(columns: list[str], text: str):
     """The bucket's rows with what is left of their texts; pieces of characters cut through go too."""
 
     def run(bucket: pa.Table, covered: pa.Table) -> pa.Table:
+        bucket = unpacked(bucket)
         order, _, texts = bucket_texts(bucket)
         data, gone, offsets = removed_bytes(texts, covered)
+        rows = bucket.take(pa.array(order, pa.int64()))
         left = [data[a:b][~gone[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(offsets, offsets[1:])]
-        rows = bucket.take(pa.array(order, pa.int64())).select(columns)
-        at = columns.index(text)
-        null = rows.column(at).is_null().to_pylist()
-        return rows.set_column(at, rows.schema.field(at), pa.chunked_array([pa.array([None if n else t for n, t in zip(null, left)], pa.string())]))
+        null = rows["__data"].is_null().to_pylist()
+        whole = pa.array([None if n else t for n, t in zip(null, left)], pa.string())
+        return pa.table([whole if c == text else rows[c] for c in columns], names=columns)
 
     return run
 
 
 def covered_ranges(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """docs with the column bucket, and the ranges to remove by bucket."""
-    dealt = docs.withColumns({
+    """docs dealt to buckets, and the ranges to remove by bucket."""
+    rows = docs.withColumns({
         "__id": F.col("doc_id").cast("long"), "__data": F.col("text").cast("binary"),
-        "bucket": F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long"),
+        "__bucket": F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long"),
     })
-    schema = lambda s: T.StructType([T.StructField(f.name, {pa.int64(): T.LongType(), pa.int32(): T.IntegerType(), pa.binary(): T.BinaryType()}[f.type]) for f in s])
-    answers = dealt.groupBy("bucket").applyInArrow(send_grams(buckets), schema(SENT)).groupBy("part").applyInArrow(answer_grams, schema(ANSWERED))
-    runs = dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_runs(buckets), schema(RUN))
-    return dealt, runs.groupBy("part").applyInArrow(merge_runs, schema(COVERED))
+    found = dealt(rows.drop("text"), "__bucket")
+    answers = found.groupBy("bucket").applyInArrow(send_grams(buckets), SENT).groupBy("part").applyInArrow(answer_grams, ANSWERED)
+    runs = found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_runs(buckets), RUN)
+    return found, runs.groupBy("part").applyInArrow(merge_runs, COVERED)
 
 
 def buckets_for(docs: DataFrame) -> int:
@@ -277,14 +295,14 @@ def buckets_for(docs: DataFrame) -> int:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """What is removed from every document, and the digest of what is left."""
     docs = docs.select("doc_id", "text")
-    dealt, covered = covered_ranges(docs, buckets_for(docs))
-    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(report_spans, SPANS)
+    found, covered = covered_ranges(docs, buckets_for(docs))
+    return found.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(report_spans, SPANS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; all rows and columns stay."""
-    dealt, covered = covered_ranges(docs, buckets_for(docs))
-    return dealt.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(cut_texts(docs.columns, "text"), docs.schema)
+    found, covered = covered_ranges(docs, buckets_for(docs))
+    return found.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(cut_texts(docs.columns, "text"), docs.schema)
 
 
 def op4_front_coded_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
