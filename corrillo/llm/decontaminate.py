@@ -1,11 +1,11 @@
 """Benchmark decontamination by a distributed positional inverted index (DataFrame functions only).
 
 1. Every document word that is also a test term becomes a posting (term, document, position) in a stored table.
-2. The postings give each test term's corpus frequency; each window of an item is found by its rarest term, whose
-   offset-adjusted postings, intersected with those of the next rarest, are the candidate alignments (document, item,
-   shift).
+2. The postings give each test term's corpus frequency. Of the five rarest terms of a window of 13, those of frequency 0
+   included, any match (10 words or more in place) has two in place; alignments (document, item, shift) with two seeds
+   of an item among their offset-adjusted postings are the candidates, so that no match is lost.
 3. Round each candidate the offset-adjusted postings of the other terms are intersected; runs of consecutive item
-   words as long as a window are phrase matches, windows with PROXIMITY_WORDS of their words in place (the two rarest among them) proximity matches.
+   words as long as a window are phrase matches, windows with any PROXIMITY_WORDS of their words in place proximity matches.
 
 A window is WINDOW consecutive item words, or the whole item if it has fewer. The test vocabulary is broadcast only up
 to BROADCAST_TERMS terms (counted first), the candidates' documents up to BROADCAST_DOCUMENTS; beyond that they meet the postings by a shuffle join. Postings of hot terms
@@ -26,6 +26,8 @@ from corrillo.llm.common import drop_keys, row_keys, table, written
 
 WINDOW = 13
 PROXIMITY_WORDS = 10
+#: Seed terms of a window that a candidate has in place; 2 is what the least and the greatest seed in place can tell.
+SEEDS_IN_PLACE = 2
 BROADCAST_TERMS = 200_000
 BROADCAST_DOCUMENTS = 500_000
 #: A word of either case; the contract's class after lower-casing A-Z.
@@ -57,15 +59,22 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.withColumn("term", lowered(F.col("word"))).join(vocabulary, "term").select("tid", "k1", "k2", "pos")
 
 
-def anchors(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """item, i1, tid1, i2, tid2: the two rarest terms of each window that can occur at all (twice the same in a window of one word)."""
+def seeds(index: DataFrame, terms: DataFrame, window: int, least: int) -> DataFrame:
+    """item, i, tid, need: the rarest terms of each window, of which any match has at least `need` in place.
+
+    A match of a window of `size` words has `required` of them in place, so of any size - required + need words at least
+    `need`. Words that no document has are among the rarest: they may be the changed ones.
+    """
     frequency = index.groupBy("tid").agg(F.count("*").alias("tf"))
     ahead = Window.partitionBy("item").orderBy("i").rowsBetween(0, window - 1)
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "tid")).over(ahead))
     whole = (F.col("i") + window <= F.col("n")) | ((F.col("n") < window) & (F.col("i") == 0))
+    size = F.least(F.lit(window), F.col("n"))
+    required = F.least(F.lit(least), size)
+    need = F.least(F.lit(SEEDS_IN_PLACE), required)
     rarest = terms.join(frequency, "tid", "left").withColumn("r", ranked).where(whole)
-    rarest = rarest.select("item", F.col("r")[0].alias("a"), F.coalesce(F.get("r", F.lit(1)), F.col("r")[0]).alias("b")).where("a.tf > 0")
-    return rarest.select("item", F.col("a.i").alias("i1"), F.col("a.tid").alias("tid1"), F.col("b.i").alias("i2"), F.col("b.tid").alias("tid2")).distinct()
+    rarest = rarest.select("item", need.alias("need"), F.explode(F.slice("r", F.lit(1), size - required + need)).alias("s"))
+    return rarest.select("item", "s.i", "s.tid", "need").distinct()
 
 
 def small(df: DataFrame, bound: int) -> DataFrame:
@@ -73,19 +82,17 @@ def small(df: DataFrame, bound: int) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
-def aligned(index: DataFrame, terms: DataFrame, window: int) -> DataFrame:
+def aligned(index: DataFrame, terms: DataFrame, window: int, least: int) -> DataFrame:
     """k1, k2, item, n, shift, i: item words in place around a candidate alignment (pos = shift + i)."""
-    best = small(written(anchors(index, terms, window), "decontaminate-anchors"), BROADCAST_TERMS)
-    first = index.join(best, F.col("tid") == F.col("tid1")).select("k1", "k2", "item", (F.col("pos") - F.col("i1")).alias("shift"), "i1", "i2", "tid2")
-    first = first.withColumn("pos2", F.col("shift") + F.col("i2")).where("pos2 >= 0")
-    second = index.join(best.select("tid2").distinct(), F.col("tid") == F.col("tid2"), "left_semi")
-    met = [first[c] == second[c] for c in ("k1", "k2")] + [first.tid2 == second.tid, first.pos2 == second.pos]
-    candidates = written(first.join(second, met, "left_semi").select("k1", "k2", "item", "shift", F.col("i1").alias("anchor")).distinct(), "decontaminate-candidates")
-    around = (candidates.item == terms.item) & (F.abs(F.col("i") - F.col("anchor")) < window)
-    expected = candidates.join(terms, around).select("k1", "k2", "tid", (F.col("shift") + F.col("i")).alias("pos"), terms.item, "n", "shift", "i").distinct()
+    best = small(written(seeds(index, terms, window, least), "decontaminate-seeds"), BROADCAST_TERMS)
+    met = index.join(best, "tid").select("k1", "k2", "item", (F.col("pos") - F.col("i")).alias("shift"), "i", "need")
+    met = met.groupBy("k1", "k2", "item", "shift", "need").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    candidates = written(met.where((F.col("need") == 1) | (F.col("first") < F.col("last"))).drop("need"), "decontaminate-candidates")
+    around = (candidates.item == terms.item) & (F.col("i") > F.col("first") - window) & (F.col("i") < F.col("last") + window)
+    expected = candidates.join(terms, around).select("k1", "k2", "tid", (F.col("shift") + F.col("i")).alias("pos"), terms.item, "n", "shift", "i")
     docs = small(written(candidates.select("k1", "k2").distinct(), "decontaminate-documents"), BROADCAST_DOCUMENTS)
     near = index.join(docs, ["k1", "k2"], "left_semi")
-    return near.join(expected, ["k1", "k2", "tid", "pos"]).select("k1", "k2", "item", "n", "shift", "i").distinct()
+    return near.join(expected.where("pos >= 0"), ["k1", "k2", "tid", "pos"]).select("k1", "k2", "item", "n", "shift", "i").distinct()
 
 
 def phrase_hits(found: DataFrame, window: int) -> DataFrame:
@@ -107,7 +114,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """k1, k2, n_hit, n_items, items (sorted, comma-joined), n_near_items of the documents with any match."""
     terms = written(item_terms(benchmark), "decontaminate-terms")
     index = written(postings(docs, terms), "decontaminate-index")
-    found = written(aligned(index, terms, window), "decontaminate-aligned")
+    found = written(aligned(index, terms, window, PROXIMITY_WORDS), "decontaminate-aligned")
     hits = phrase_hits(found, window)
     n_hit = hits.select("k1", "k2", "pos").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
     names = hits.select("k1", "k2", "item").distinct().join(terms.select("item", "item_id").distinct(), "item")

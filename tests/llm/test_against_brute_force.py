@@ -13,7 +13,7 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corrillo.llm import anchors, bpe, classifier, losertree, minhash, quality, sharding, shingles, suffix
+from corrillo.llm import anchors, bpe, classifier, decontaminate, losertree, minhash, quality, sharding, shingles, suffix
 from corrillo.llm.common import table
 
 WORDS = ["alpha", "beta", "Gamma", "delta,", "é", "of", "the", "and", "zeta.", "eta"]
@@ -203,3 +203,31 @@ def test_anchors_stand_for_every_string():
     at, _, first, last = anchors.anchors_of(data)
     assert first[0] == 0 and last[-1] == len(data) - anchors.SPAN and np.array_equal(first[1:], last[:-1] + 1)
     assert (at >= last).all() and (at + anchors.GRAM <= first + anchors.SPAN).all()
+
+
+def test_proximity_with_any_words_changed(spark):
+    """Windows with up to four of thirteen words changed, the rarest ones and ones in no document among them."""
+    draw = random.Random(6)
+    common = [f"c{i}" for i in range(30)]
+    items = [(k, [draw.choice(common) if draw.random() < 0.5 else f"r{k}x{i}" for i in range(n)]) for k, n in enumerate((13, 13, 20, 30, 11, 6, 1, 2))]
+    docs = [draw.choices(common, k=60) for _ in range(20)]
+    for k, w in items:
+        for changes in (0, 1, 2, 3, 4) * 4:
+            new = list(w)
+            for i in draw.sample(range(len(w)), min(changes, len(w))):
+                new[i] = draw.choice([*common, "nowhere"])
+            cut = draw.randrange(2)
+            docs.append(draw.choices(common, k=draw.randrange(4)) + new[cut:] + draw.choices(common, k=9))
+    expected = {}
+    for d, words in enumerate(docs):
+        near = 0
+        for _, w in items:
+            size = min(13, len(w))
+            near += any(
+                sum(0 <= s + i < len(words) and words[s + i] == w[i] for i in range(a, a + size)) >= min(10, size)
+                for s in range(-len(w), len(words)) for a in range(len(w) - size + 1))
+        expected[d] = near
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.report(frame, benchmark).collect()}
+    assert got == expected and sum(expected.values()) > 50
