@@ -103,25 +103,30 @@ def phrase_hits(found: DataFrame, window: int) -> DataFrame:
     return runs.where(F.col("length") >= F.least(F.lit(window), F.col("n"))).select("k1", "k2", "item", (F.col("shift") + F.col("i")).alias("pos"))
 
 
+def item_ids(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """k1, k2, ids: the sorted ids of the items in found."""
+    names = found.select("k1", "k2", "item").distinct().join(terms.select("item", "item_id").distinct(), "item")
+    return names.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+
+
 def proximity_items(found: DataFrame, window: int, least: int) -> DataFrame:
-    """k1, k2, n_near_items: items with `least` words of some window in place, the others changed or missing."""
+    """k1, k2, item with `least` words of some window in place, the others changed or missing."""
     ahead = Window.partitionBy("k1", "k2", "item", "shift").orderBy("i").rangeBetween(0, window - 1)
     near = found.withColumn("there", F.count("*").over(ahead)).where(F.col("there") >= F.least(F.lit(least), F.col("n")))
-    return near.select("k1", "k2", "item").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_near_items"))
+    return near.select("k1", "k2", "item")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k1, k2, n_hit, n_items, items (sorted, comma-joined), n_near_items of the documents with any match."""
+    """k1, k2, n_hit, n_items, items (sorted, comma-joined), n_near_items, near_items of the documents with any match."""
     terms = written(item_terms(benchmark), "decontaminate-terms")
     index = written(postings(docs, terms), "decontaminate-index")
     found = written(aligned(index, terms, window, PROXIMITY_WORDS), "decontaminate-aligned")
     hits = phrase_hits(found, window)
     n_hit = hits.select("k1", "k2", "pos").distinct().groupBy("k1", "k2").agg(F.count("*").alias("n_hit"))
-    names = hits.select("k1", "k2", "item").distinct().join(terms.select("item", "item_id").distinct(), "item")
-    ids = names.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
-    ids = ids.select("k1", "k2", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
-    near = proximity_items(found, window, PROXIMITY_WORDS)
-    return n_hit.join(ids, ["k1", "k2"]).join(near, ["k1", "k2"], "full")
+    listed = lambda ids, n, name: ids.select("k1", "k2", F.size("ids").cast("long").alias(n), F.array_join("ids", ",").alias(name))
+    exact = listed(item_ids(hits, terms), "n_items", "items")
+    near = listed(item_ids(proximity_items(found, window, PROXIMITY_WORDS), terms), "n_near_items", "near_items")
+    return n_hit.join(exact, ["k1", "k2"]).join(near, ["k1", "k2"], "full")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -129,7 +134,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document: its words, hits, items and the verdict."""
+    """One row per document: its words, hits, items and the verdict on phrases; items in proximity, exact ones among them."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     counted = docs.select("doc_id", *row_keys(), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
     return counted.join(matches(docs, benchmark, window), ["k1", "k2"], "left").select(
@@ -137,6 +142,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         contaminated(F.coalesce("n_hit", F.lit(0)), F.col("n_words")).alias("contaminated"),
         zero("n_near_items"),
+        F.coalesce("near_items", F.lit("")).alias("near_items"),
     )
 
 
@@ -148,7 +154,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 
 def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near_items")
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def _sql_words(text: str) -> str:

@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -220,14 +221,31 @@ def test_proximity_with_any_words_changed(spark):
             docs.append(draw.choices(common, k=draw.randrange(4)) + new[cut:] + draw.choices(common, k=9))
     expected = {}
     for d, words in enumerate(docs):
-        near = 0
-        for _, w in items:
+        near = []
+        for k, w in items:
             size = min(13, len(w))
-            near += any(
+            if any(
                 sum(0 <= s + i < len(words) and words[s + i] == w[i] for i in range(a, a + size)) >= min(10, size)
-                for s in range(-len(w), len(words)) for a in range(len(w) - size + 1))
-        expected[d] = near
+                for s in range(-len(w), len(words)) for a in range(len(w) - size + 1)):
+                near.append(str(k))
+        expected[d] = len(near), ",".join(near)
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
     benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
-    got = {r["doc_id"]: r["n_near_items"] for r in decontaminate.report(frame, benchmark).collect()}
-    assert got == expected and sum(expected.values()) > 50
+    got = {r["doc_id"]: (r["n_near_items"], r["near_items"]) for r in decontaminate.report(frame, benchmark).collect()}
+    assert got == expected and sum(n for n, _ in expected.values()) > 50
+
+
+def test_proximity_leaves_the_query(spark, tmp_path):
+    """A document that holds only an altered passage is told from one that holds none; the other columns are the SQL's."""
+    words = [f"w{i}" for i in range(13)]
+    altered = [*words[:4], "other", *words[5:]]
+    spark.createDataFrame([(1, " ".join(altered)), (2, "none of it"), (3, " ".join(words))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(9, " ".join(words))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = decontaminate.op1_positional_index(spark, str(tmp_path))
+    assert {r["doc_id"]: (r["n_items"], r["n_near_items"], r["near_items"]) for r in found.collect()} == {1: (0, 1, "9"), 2: (0, 0, ""), 3: (1, 1, "9")}
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    result = con.execute(decontaminate.OP1_SQL)
+    names = [d[0] for d in result.description]
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(result.fetchall())
