@@ -61,8 +61,8 @@ def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH words AS (SELECT rid, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[0-9a-z]+')) AS w FROM (SELECT row_number() OVER () AS rid, text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')))
 SELECT form, count(*) AS hits FROM (SELECT unnest(w) AS form FROM words) WHERE form IN ('then', 'that', 'ouen') GROUP BY form""")
 def leak_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return leaks(texts, ["then", "that", "ouen"])
+    """The SQL folds only texts without any non-ASCII character and has fewer hits where others hold a form."""
+    return leaks(table(spark, sf_dir, "conversations"), ["then", "that", "ouen"])
 
 
 @query(" UNION ALL ".join(

@@ -1,11 +1,14 @@
 """Every registered query against its SQL, on the tables of the driver."""
 
 import math
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from corrillo.functions.names import folded
 from corrillo.operators.ordering import previous
 from corrillo.operators.sessions import by_lag, by_window
 from corrillo.plans import registry
@@ -66,3 +69,13 @@ def test_streamed_sessions(spark, tmp_path):
     run = stream_sessions(stream).writeStream.format("memory").queryName("streamed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted((r["sender"], r["messages"]) for r in spark.table("streamed").collect()) == [("a", 1), ("a", 2)]
+
+
+def test_leaks_in_accented_texts(spark, sf_dir, tmp_path):
+    """Every text is scanned, against folding in plain Python."""
+    rows = [("habló de Ouën", ), ("ÓUEN, thén y thát", ), ("then ouen", ), ("señor thenard", ), (None, )]
+    spark.createDataFrame(rows, "text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for path in (str(tmp_path), sf_dir):
+        expected = Counter(form for r in spark.read.parquet(f"{path}/conversations.parquet").select("text").collect() for form in set(re.findall(r"[^\W_]+", folded(r["text"] or ""))) & {"then", "that", "ouen"})
+        assert {r["form"]: r["hits"] for r in registry.QUERIES["leak_hits"](spark, path).collect()} == expected
+        assert path == sf_dir or expected == {"ouen": 3, "then": 2, "that": 1}
