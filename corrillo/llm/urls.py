@@ -27,17 +27,25 @@ HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 #: The crawl's clock: page k is fetched k hours after its start, within CRAWL_HOURS.
 CRAWL_START, CRAWL_HOURS = "2024-01-01 00:00:00", 8784
-#: The dated list (fixed values): pattern, date, action, category.
-ENTRIES = (
-    ("spam-farm.example.org", "2024-01-03", "add", "spam"),
-    ("spam-farm.example.org", "2024-04-01", "remove", "spam"),
-    ("spam-farm.example.org", "2024-06-15", "add", "spam"),
-    ("adult-x.example.net", "2024-01-01", "add", "adult"),
-    ("adult-x.example.net", "2024-01-09", "remove", "adult"),
-    ("adult-x.example.net", "2024-01-10", "add", "adult"),
-    ("adult-x.example.net/en", "2024-01-09", "add", "adult"),
-    ("spam-farm.example.org/es", "2024-05-01", "add", "spam"),
+#: The dated list (fixed values): host without top-level domain, path, date, action, category.
+HISTORY = (
+    ("spam-farm.example", "", "2024-01-03", "add", "spam"),
+    ("spam-farm.example", "", "2024-04-01", "remove", "spam"),
+    ("spam-farm.example", "", "2024-06-15", "add", "spam"),
+    ("adult-x.example", "", "2024-01-01", "add", "adult"),
+    ("adult-x.example", "", "2024-01-09", "remove", "adult"),
+    ("adult-x.example", "", "2024-01-10", "add", "adult"),
+    ("adult-x.example", "/en", "2024-01-09", "add", "adult"),
+    ("spam-farm.example", "/es", "2024-05-01", "add", "spam"),
+    ("casino-win.example", "", "2024-01-01", "add", "gambling"),
+    ("free-bets.example", "", "2024-01-01", "add", "gambling"),
+    ("ads-track.example", "", "2024-01-01", "add", "ads"),
+    ("cheap-pills.example", "", "2024-01-01", "add", "spam"),
 )
+#: The hosts are listed under each of these; the tables' pages have no others.
+TOP_LEVELS = ("com", "net", "org")
+#: pattern, date, action, category.
+ENTRIES = tuple((f"{host}.{top}{path}", *rest) for host, path, *rest in HISTORY for top in TOP_LEVELS)
 
 
 def host_of(url: Column) -> Column:

@@ -125,6 +125,17 @@ def test_temporal_list(spark):
     assert urls.judged(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_list_covers_every_flagged_host(spark, sf):
+    """Whatever the top-level domain; spam-farm and adult-x but in their gaps."""
+    found = urls.op7_temporal_list(spark, f"/root/testdata/{sf}").where("host RLIKE '(spam-farm|casino-win|free-bets|ads-track|cheap-pills|adult-x)'").collect()
+    open_days = {"spam-farm": [("2024-01-01", "2024-01-03"), ("2024-04-01", "2024-06-15")], "adult-x": [("2024-01-09", "2024-01-10")]}
+    assert len(found) >= 3
+    for r in found:
+        gaps = next((g for name, g in open_days.items() if name in r["host"]), [])
+        assert r["blocked"] or any(a <= str(r["fetch_time"]) < b for a, b in gaps), r
+
+
 def test_temporal_list_salted(spark, sf_dir, monkeypatch):
     expected = sorted(map(str, urls.op7_temporal_list(spark, sf_dir).collect()))
     monkeypatch.setattr(urls, "BROADCAST_ENTRIES", 2)
