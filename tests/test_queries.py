@@ -79,3 +79,11 @@ def test_leaks_in_accented_texts(spark, sf_dir, tmp_path):
         expected = Counter(form for r in spark.read.parquet(f"{path}/conversations.parquet").select("text").collect() for form in set(re.findall(r"[^\W_]+", folded(r["text"] or ""))) & {"then", "that", "ouen"})
         assert {r["form"]: r["hits"] for r in registry.QUERIES["leak_hits"](spark, path).collect()} == expected
         assert path == sf_dir or expected == {"ouen": 3, "then": 2, "that": 1}
+
+
+def test_numbers_in_short_groups_are_masked(spark, tmp_path):
+    """No four digits in a row are needed, and no document is left out."""
+    rows = [(1, "from 196.251.51.155 on"), (2, "call 66 21 23 45 67"), (3, "no number"), (4, "card 1234 5678 9012 3456"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r["doc_id"]: r["masked"] for r in registry.QUERIES["mask_number"](spark, str(tmp_path)).collect()}
+    assert found == {1: "from [numero] on", 2: "call [numero]", 3: "no number", 4: "card [numero]", 5: None}
