@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import gzip
 from collections.abc import Iterator
+from html import unescape
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,15 +30,53 @@ TAGS = r"<[^>]*>"
 SPACES, BREAKS, ENDS = r"[ \t\r\f]+", r" ?\n[ \n]*", r"^[ \n]+|[ \n]+$"
 TITLE, LANG = r"(?is)<title[^>]*>(.*?)</title>", r"(?i)<html[^>]*\slang=\"([^\"]*)\""
 LINKS = r"(?i)<a\s[^>]*href=\"([^\"]*)\""
-#: Entities and their characters (fixed values), the ampersand last.
+#: A character reference of HTML 5: numeric, or a name that may run into what follows it.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that need no semicolon, the longest first.
+OPEN_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+#: Names and characters, the commonest first (a map is searched from its start); a hard space counts as a blank.
+NAMES = {n: html5[n].replace("\xa0", " ") for n in ("amp;", "lt;", "gt;", "quot;", "copy;", "middot;", "nbsp;", *html5)}
+#: Code points that stand for something else than their character, by html.unescape; U+FEFF would be read as a byte order mark.
+NUMBERS = {str(n): unescape(f"&#{n};").replace("\xa0", " ") for n in (*range(0xA1), *range(0xFDD0, 0xFDF0), 0xFEFF, *(p * 0x10000 + n for p in range(17) for n in (0xFFFE, 0xFFFF)))}
+UNKNOWN = "\ufffd"
+#: The entities that the SQL knows and their characters (fixed values), the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 DERIVED = "metadata", "conversion"
 
 
+def lookup(of: dict[str, str]) -> Column:
+    """A map as one literal."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in of.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def numbered(reference: Column) -> Column:
+    """The character of a numeric reference."""
+    digits = F.regexp_extract(reference, r"^&#[xX]?0*([0-9a-fA-F]*)", 1)
+    base = lambda n: F.conv(digits, n, 10)
+    point = F.when(digits == "", F.lit("0")).when(reference.rlike("^&#[xX]"), base(16)).otherwise(base(10))
+    number = point.cast("long")
+    char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    wrong = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    return F.when(F.length(digits) > 7, F.lit(UNKNOWN)).when(wrong, F.lit(UNKNOWN)).otherwise(F.coalesce(F.try_element_at(lookup(NUMBERS), point), char))
+
+
+def named(reference: Column) -> Column:
+    """The characters of a named reference; of an unknown name, those of the longest known start of it."""
+    name = F.regexp_extract(reference, f"^&({OPEN_NAMES})", 1)
+    start = F.when(name == "", reference).otherwise(F.concat(F.try_element_at(lookup(NAMES), name), F.substring(reference, F.length(name) + 2, F.length(reference))))
+    return F.coalesce(F.try_element_at(lookup(NAMES), F.substring(reference, F.lit(2), F.length(reference))), start)
+
+
 def unescaped(text: Column) -> Column:
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """All named and numeric character references decoded once, as html.unescape does."""
+
+    def whole(t: Column) -> Column:
+        pairs = F.arrays_zip(F.split(t, REFERENCE, -1).alias("b"), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("r"))
+        decoded = F.transform(pairs, lambda p: F.concat(p.b, F.when(p.r.isNull(), F.lit("")).when(p.r.startswith("&#"), numbered(p.r)).otherwise(named(p.r))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(decoded, "")).otherwise(t)
+
+    # within a lambda the text is computed once
+    return F.get(F.transform(F.array(text), whole), F.lit(0))
 
 
 def plain_text(html: Column) -> Column:

@@ -1,5 +1,10 @@
 """Every operator on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
+import html
+import html.entities
+import random
+
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +157,27 @@ def test_warc_round_trip(spark, tmp_path):
     back = warc.read_warc(spark, str(tmp_path / "out")).selectExpr("record_id", "refers_to", "cast(block AS string) AS block")
     assert back.exceptAll(derived.select("record_id", "refers_to", "block")).count() == 0 and back.count() == 4
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_all_character_references_are_decoded(spark):
+    page = "<title>Caf&eacute; &middot; &#233;&#xE9;</title><p>&copy; host &middot; &lt;b&gt; &amp;copy; a&nbsp;&#160;&#xA0;b &#0160;c&#39;s &quot;q&quot; &#1600; &unknown; R&D &amp;nbsp;</p>"
+    rows = {r["record_type"]: r["block"] for r in warc.derive(warc.responses(spark.createDataFrame([(1, "http://x.org/", page)], "page_id long, url string, html string"))).collect()}
+    assert rows["conversion"] == "Caf\u00e9 \u00b7 \u00e9\u00e9\n\u00a9 host \u00b7 <b> &copy; a b c's \"q\" \u0640 &unknown; R&D &nbsp;"
+    assert rows["metadata"].startswith("title: Caf\u00e9 \u00b7 \u00e9\u00e9\r\n")
+
+
+def test_derivatives_against_sql_but_for_references(spark, sf_dir):
+    """Where the SQL's text has no reference left, the record is the same; elsewhere it is the SQL's text decoded."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
+    expected = con.execute(f"SELECT record_id, block FROM ({warc.OP10_SQL}) WHERE record_type = 'conversion'").fetchall()
+    found = {r["record_id"]: r["block"] for r in warc.op10_derivatives(spark, sf_dir).where("record_type = 'conversion'").collect()}
+    assert found == {i: b.replace("&copy;", "\u00a9").replace("&middot;", "\u00b7") for i, b in expected}
+
+
+def test_references_are_those_of_html(spark):
+    draw = random.Random(7)
+    parts = ["&", "&amp;", "&amp", "&notit;", "&ampcopy;", "&#", "&#x", "&#0;", "&#0128;", "&#x9F", "&#xD800;", "&#x1F600;", "&#65279;", "&#1114112;", "&#99999999999999999999;", "&#11;", "&#xFFFE;", "&#13;", "&Tab;", "&NewLine;", "&ngE;", ";", "x", " ", "9", "é", "&CounterClockwiseContourIntegral;", "&hearts", "&frac12"]
+    texts = [f"a&{n}b" for n in html.entities.html5] + [f"&#{n};&#x{n:x}" for n in (*range(400), *range(0xD7F0, 0xE010), *range(0xFDC0, 0xFE00), 0x10FFFD, 0x10FFFF)] + ["".join(draw.choices(parts, k=9)) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", warc.unescaped(F.col("t")).alias("got")).collect()
+    assert [(r["t"], r["got"]) for r in rows if r["got"] != html.unescape(r["t"]).replace("\xa0", " ")] == []
