@@ -23,7 +23,7 @@ from corrillo.llm.common import table
 LEVEL = 3
 CHUNK_BYTES = 2048
 #: Bytes of text below which a band holds, the least ratio and the largest one: what texts labelled good show, and a
-#: twentieth more.
+#: twentieth more. The ratio of clean text rises with its length; beyond the lengths labelled, the chunks alone judge.
 BANDS = (
     (200, 0.0, 2.1),
     (400, 1.05, 2.15),
@@ -33,7 +33,8 @@ BANDS = (
     (6400, 1.38, 2.42),
     (12_800, 1.38, 2.5),
     (25_600, 1.38, 2.58),
-    (float("inf"), 1.38, 2.7),
+    (131_072, 1.38, 2.7),
+    (float("inf"), 0.0, float("inf")),
 )
 #: The band of a chunk of CHUNK_BYTES, and the share of chunks that may lie outside it.
 CHUNK_BAND = (1.3, 2.3)
@@ -73,11 +74,13 @@ def base_measures(data: bytes) -> tuple[int, int, int, int, int]:
 
 
 def compression(data: bytes, press: zstandard.ZstdCompressor) -> tuple[float, int, int]:
-    """The whole text's ratio, its full chunks, and those outside the chunks' band (a text of one chunk has none)."""
+    """The whole text's ratio, its chunks, the last one aligned to the end, and those outside the chunks' band."""
     if not data:
         return 0.0, 0, 0
     whole = len(data) / len(press.compress(data))
-    cuts = range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES) if len(data) >= 2 * CHUNK_BYTES else ()
+    cuts = [*range(0, len(data) - CHUNK_BYTES + 1, CHUNK_BYTES)]
+    if cuts and len(data) % CHUNK_BYTES:
+        cuts.append(len(data) - CHUNK_BYTES)
     low, high = CHUNK_BAND
     bad = sum(not low <= CHUNK_BYTES / len(press.compress(data[i : i + CHUNK_BYTES])) <= high for i in cuts)
     return whole, len(cuts), bad

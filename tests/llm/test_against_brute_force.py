@@ -144,6 +144,24 @@ def test_bands_tell_junk_from_text():
     assert verdict(prose) and not verdict(b"spam offer " * 300) and not verdict(draw.randbytes(5000))
 
 
+def test_very_long_and_short_texts_are_judged_by_all_chunks():
+    import zstandard
+
+    press, draw = zstandard.ZstdCompressor(level=quality.LEVEL), random.Random(8)
+    verdict = lambda data: quality.in_bands(len(data), *quality.compression(data, press))
+    letters = "aeionrstldhcmu"
+    lexicon = ["".join(draw.choices(letters, k=draw.randint(2, 11))) for _ in range(3000)]
+    weights = [(k + 1) ** -0.6 for k in range(len(lexicon))]
+    prose = lambda n: " ".join(draw.choices(lexicon, weights, k=n // 4)).encode()[:n]
+    long = prose(600_000)
+    assert len(long) > 131_072 and verdict(long)
+    assert not verdict(b"spam offer " * 60_000) and not verdict(draw.randbytes(200_000))
+    junk = prose(2300) + draw.randbytes(1300)
+    assert 2048 <= len(junk) < 4096
+    assert quality.compression(junk, press)[1:] == (2, 1) and not verdict(junk)
+    assert quality.compression(prose(2048), press)[1:] == (1, 0) and quality.compression(prose(2047), press)[1:] == (0, 0)
+
+
 def test_classifier_holds_out_and_ranks(spark, sf_dir):
     got = {r["doc_id"]: r for r in classifier.op5_pairwise_ranking(spark, sf_dir).collect()}
     labels = {r["doc_id"]: r["quality"] for r in table(spark, sf_dir, "labels").collect()}
