@@ -1,6 +1,7 @@
 """Benchmark decontamination by a distributed positional inverted index (DataFrame functions only).
 
-1. Every document word that is also a test term becomes a posting (term, document, position) in a stored table.
+1. Every document word that is also a test term becomes a posting (term, document, position) in a stored table; a
+   posting without a term closes each document, its position being the number of words. Texts are read and cut once.
 2. The postings give each test term's corpus frequency. Of the five rarest terms of a window of 13, those of frequency 0
    included, any match (10 words or more in place) has two in place; alignments (document, item, shift) with two seeds
    of an item among their offset-adjusted postings are the candidates, so that no match is lost.
@@ -30,13 +31,14 @@ PROXIMITY_WORDS = 10
 SEEDS_IN_PLACE = 2
 BROADCAST_TERMS = 200_000
 BROADCAST_DOCUMENTS = 500_000
-#: A word of either case; the contract's class after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words of either case; the contract's class before lower-casing A-Z.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """All words in order; split() leaves an empty string before the first and after the last separator."""
+    return F.array_remove(F.coalesce(F.split(text, BETWEEN), F.array().cast("array<string>")), "")
 
 
 def lowered(word: Column) -> Column:
@@ -53,10 +55,20 @@ def item_terms(benchmark: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: tid, k1, k2 (document), pos of every document word that is a test term."""
+    """The index: tid, k1, k2 (document), pos of every document word that is a test term, and each row's closing posting.
+
+    The keys and words of a text are computed below the explode and, as it is an outer one, not a second time in a filter.
+    """
     vocabulary = small(terms.select("term", "tid").distinct(), BROADCAST_TERMS)
-    tokens = docs.select(*row_keys(), F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return tokens.withColumn("term", lowered(F.col("word"))).join(vocabulary, "term").select("tid", "k1", "k2", "pos")
+    closed = F.array_append(words(F.col("text")), F.lit(None).cast("string"))
+    found = docs.select(*row_keys(), F.col("doc_id").isNull().alias("no_id"), closed.alias("w"))
+    tokens = found.select("k1", "k2", "no_id", F.posexplode_outer("w").alias("pos", "word")).withColumn("term", lowered(F.col("word")))
+    return tokens.join(vocabulary, "term", "left").where("tid IS NOT NULL OR word IS NULL").select("tid", "k1", "k2", "no_id", "pos")
+
+
+def documents(index: DataFrame) -> DataFrame:
+    """k1, k2, doc_id, n_words of every row, from its closing posting."""
+    return index.where("tid IS NULL").select("k1", "k2", F.when(~F.col("no_id"), F.col("k1")).alias("doc_id"), F.col("pos").cast("long").alias("n_words"))
 
 
 def seeds(index: DataFrame, terms: DataFrame, window: int, least: int) -> DataFrame:
@@ -65,7 +77,7 @@ def seeds(index: DataFrame, terms: DataFrame, window: int, least: int) -> DataFr
     A match of a window of `size` words has `required` of them in place, so of any size - required + need words at least
     `need`. Words that no document has are among the rarest: they may be the changed ones.
     """
-    frequency = index.groupBy("tid").agg(F.count("*").alias("tf"))
+    frequency = index.where("tid IS NOT NULL").groupBy("tid").agg(F.count("*").alias("tf"))
     ahead = Window.partitionBy("item").orderBy("i").rowsBetween(0, window - 1)
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "i", "tid")).over(ahead))
     whole = (F.col("i") + window <= F.col("n")) | ((F.col("n") < window) & (F.col("i") == 0))
@@ -117,7 +129,7 @@ def proximity_items(found: DataFrame, window: int, least: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """k1, k2, n_hit, n_items, items (sorted, comma-joined), n_near_items, near_items of the documents with any match."""
+    """A row per document: k1, k2, doc_id, n_words; n_hit, n_items, items (sorted, comma-joined), n_near_items, near_items, null without any match."""
     terms = written(item_terms(benchmark), "decontaminate-terms")
     index = written(postings(docs, terms), "decontaminate-index")
     found = written(aligned(index, terms, window, PROXIMITY_WORDS), "decontaminate-aligned")
@@ -126,7 +138,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     listed = lambda ids, n, name: ids.select("k1", "k2", F.size("ids").cast("long").alias(n), F.array_join("ids", ",").alias(name))
     exact = listed(item_ids(hits, terms), "n_items", "items")
     near = listed(item_ids(proximity_items(found, window, PROXIMITY_WORDS), terms), "n_near_items", "near_items")
-    return n_hit.join(exact, ["k1", "k2"]).join(near, ["k1", "k2"], "full")
+    matched = written(n_hit.join(exact, ["k1", "k2"]).join(near, ["k1", "k2"], "full"), "decontaminate-matched")
+    return documents(index).join(small(matched, BROADCAST_DOCUMENTS), ["k1", "k2"], "left")
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -136,8 +149,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: its words, hits, items and the verdict on phrases; items in proximity, exact ones among them."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
-    counted = docs.select("doc_id", *row_keys(), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    return counted.join(matches(docs, benchmark, window), ["k1", "k2"], "left").select(
+    return matches(docs, benchmark, window).select(
         "doc_id", "n_words", zero("n_hit"), zero("n_items"),
         F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
         contaminated(F.coalesce("n_hit", F.lit(0)), F.col("n_words")).alias("contaminated"),
@@ -148,8 +160,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    n_words = docs.select(*row_keys(), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n_words"))
-    bad = n_words.join(matches(docs, benchmark, window).where("n_hit > 0"), ["k1", "k2"]).where(contaminated(F.col("n_hit"), F.col("n_words")))
+    bad = matches(docs, benchmark, window).where(contaminated(F.col("n_hit"), F.col("n_words")))
     return drop_keys(docs, bad.select("k1", "k2").distinct(), "decontaminate-bad")
 
 
@@ -173,8 +184,18 @@ grams AS (
     FROM docs, sizes WHERE len(w) >= size),
 found AS (SELECT DISTINCT g.rid, g.pos, g.size, v.item_id FROM grams g JOIN windows v ON g.size = v.size AND g.phrase = v.phrase),
 hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM found) GROUP BY rid),
-named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY rid)
+named AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM found) GROUP BY rid),
+placed AS (SELECT item, item_id, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, * FROM items)),
+tokens AS (SELECT rid, unnest(range(len(w))) AS pos, unnest(w) AS term FROM docs),
+aligned AS (
+    SELECT rid, item, item_id, n, list(i) AS there FROM tokens JOIN placed USING (term)
+    GROUP BY rid, item, item_id, n, pos - i HAVING count(*) >= least({PROXIMITY_WORDS}, n)),
+close AS (
+    SELECT DISTINCT rid, coalesce(CAST(item_id AS VARCHAR), '') AS id FROM (SELECT *, unnest(range(greatest(n - {WINDOW}, 0) + 1)) AS a FROM aligned)
+    WHERE len(list_filter(there, lambda i: i >= a AND i < a + {WINDOW})) >= least({PROXIMITY_WORDS}, n)),
+near AS (SELECT rid, count(*) AS n_near, string_agg(id, ',' ORDER BY id) AS near_ids FROM close GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
-FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, coalesce(near_ids, '') AS near_items
+FROM docs LEFT JOIN hits USING (rid) LEFT JOIN named USING (rid) LEFT JOIN near USING (rid)
 """
