@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corrillo.functions.times import boundary_minutes
+from corrillo.operators.ordering import ROWS_PER_RANGE, previous, running
 
 
 def summary_columns() -> list[Column]:
@@ -17,12 +18,13 @@ def summary_columns() -> list[Column]:
     ]
 
 
-def by_window(messages: DataFrame, gap: str, *keys: str) -> DataFrame:
-    """Sessions by Spark's own session window: an aggregation, whatever the number of keys, with no total order."""
-    # two messages exactly one gap apart are in one session
-    wider = F.session_window("timestamp", f"{gap} 1 microsecond")
-    found = messages.withColumn("timestamp", F.col("timestamp").cast("timestamp")).groupBy(*keys, wider.alias("w")).agg(*summary_columns()).drop("w")
-    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")}).withColumn("minutes", boundary_minutes("started", "ended"))
+def of_everybody(messages: DataFrame, gap: str, per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """Sessions over all messages: gaps and session numbers run along ranges of the timeline, many tasks wide."""
+    order = ["timestamp", "message_id"]
+    steps = previous(messages, order, ["timestamp"], per_range, keep=True)
+    fresh = F.coalesce(F.col("timestamp") - F.col("previous_timestamp") > F.expr(f"INTERVAL {gap}"), F.lit(True))
+    numbered = running(steps, order, fresh.cast("long"), "session", per_range)
+    return numbered.groupBy("session").agg(*summary_columns()).drop("session").withColumn("minutes", boundary_minutes("started", "ended"))
 
 
 def by_lag(messages: DataFrame, gap: str, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrillo.operators.sessions import by_lag, by_window
+from corrillo.operators.sessions import by_lag, of_everybody
 from corrillo.plans.base import query, timeline
 
 _RUNS = """
@@ -23,7 +23,7 @@ LENGTHS = ((1, "<1"), (5, "1-4"), (10, "5-9"), (20, "10-19"), (30, "20-29"), (60
 
 
 def global_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return by_window(timeline(spark, sf_dir), "10 minutes")
+    return of_everybody(timeline(spark, sf_dir), "'10' MINUTE")
 
 
 def binned(value: Column, bounds, last: str, strict: bool = False) -> Column:
