@@ -5,12 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from dataclasses import asdict
 from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corrillo.functions.names import name_forms, normal_name
 from corrillo.operators import quality, silver
 from corrillo.session import build
 from corrillo.sources import chat, config, ingest
@@ -49,13 +49,15 @@ def group_of(raw: Path) -> str:
 
 
 @config.logged
-def run_anonymize(spark: SparkSession, root: Path, name: str, salt: bytes, settings: dict) -> None:
+def run_anonymize(spark: SparkSession, root: Path, name: str, salt: bytes, settings: config.Anonymization) -> None:
     raw, out = root / "data/raw" / name, root / "data/interim" / name
     put(chat.bronze(spark, str(ingest.chat_file(raw)), group_of(raw)), out / "bronze.parquet", "record_no")
     bronze = spark.read.parquet(str(out / "bronze.parquet"))  # read again: four steps use it
-    masker = silver.masker_of(bronze, salt, **settings)
-    put(silver.anonymised(bronze, salt, masker), out / "messages_anon.parquet", "message_id")
-    put(silver.members(bronze, salt, {w for form in masker.marks for w in form.split()}), out / "members.parquet", "first_message")
+    people = silver.people_of(bronze, salt, settings.allow_names).cache()
+    marks = silver.marks_of(people, **asdict(settings))
+    put(silver.anonymised(bronze, people, marks), out / "messages_anon.parquet", "message_id")
+    put(silver.members(bronze, people, {w for form in marks for w in form.split()}), out / "members.parquet", "first_message")
+    people.unpersist()
 
 
 @config.logged
@@ -77,12 +79,10 @@ def run_dictionary(spark: SparkSession, root: Path, name: str) -> None:
 
 
 @config.logged
-def run_leak_check(spark: SparkSession, root: Path, name: str, paths: list[str], allow: list[str] = (), extra: list[str] = ()) -> dict[str, dict[str, int]]:
-    """path -> form -> hits of real names in publishable files; empty when nothing leaks."""
+def run_leak_check(spark: SparkSession, root: Path, name: str, paths: list[str], settings: config.Anonymization = config.Anonymization()) -> dict[str, dict[str, int]]:
+    """path -> form -> hits of real names in publishable files; empty when nothing leaks. Names are those that the same settings mask."""
     bronze = spark.read.parquet(str(root / "data/interim" / name / "bronze.parquet"))
-    allowed = {normal_name(a) for a in allow}
-    names = {normal_name(r["name"]) for r in silver.people_names(bronze).collect()} - allowed - {""}
-    forms = {*name_forms(names), *name_forms(extra)}
+    forms = silver.marks_of(silver.people_of(bronze, b"forms only", settings.allow_names), **asdict(settings))
     found = {p: {r["form"]: r["hits"] for r in quality.leaks(chat.publishable_texts(spark, p), forms).collect()} for p in paths}
     return {p: hits for p, hits in found.items() if hits}
 
@@ -93,22 +93,25 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--root", type=Path, default=Path("."))
     parser.add_argument("--chat")
     parser.add_argument("--zip", type=Path)
-    parser.add_argument("--existing", choices=[e.value for e in config.Existing], default="error")
+    parser.add_argument("--existing", choices=[e.value for e in config.Existing], help="what happens to files that are there; else `source.on_exists` of the parameters")
     parser.add_argument("paths", nargs="*")
-    args = parser.parse_args(arguments)
+    args = parser.parse_intermixed_args(arguments)
     params = config.load_params(args.root / "params.yml")
-    name, spark = config.active_chat(params, args.chat), build()
-    settings = config.anonymize_settings(params, name)
+    source = params.get("source") or {}
     if args.step == "ingest":
-        run_ingest(spark, args.root, name, args.zip or Path(params["chats"][name]["zip"]), config.Existing(args.existing), params.get("source", {}))
-    elif args.step == "anonymize":
+        name, archive = ingest.chosen_export(params, args.chat, args.zip)
+        about = {k: v for k, v in source.items() if k != "on_exists"}
+        run_ingest(build(), args.root, name, archive, config.Existing(args.existing or source.get("on_exists", "error")), about)
+        return 0
+    name, spark, settings = config.active_chat(params, args.chat), build(), config.Anonymization.of(params)
+    if args.step == "anonymize":
         run_anonymize(spark, args.root, name, config.load_salt(args.root / ".env"), settings)
     elif args.step == "process":
         run_process(spark, args.root, name)
     elif args.step == "dictionary":
         run_dictionary(spark, args.root, name)
     else:
-        hits = run_leak_check(spark, args.root, name, args.paths, settings.get("allow_names", ()), settings.get("extra_names", ()))
+        hits = run_leak_check(spark, args.root, name, args.paths, settings)
         for path, found in hits.items():
             print(path, found)
         return int(bool(hits))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corrillo.functions import names
-from corrillo.functions.masking import NameMasker, mask_column
+from corrillo.functions.masking import form_marks, marks_frame, mask_names as mask_by_names
 from corrillo.operators.quality import difference, leaks, profile
 from corrillo.plans.base import query, table
 
@@ -30,17 +30,20 @@ r AS (SELECT *, row_number() OVER (ORDER BY first_message, first_id, member) AS
 SELECT member, first_message, coalesce({_ANIMALS}[rank], 'Animal ' || rank) AS alias FROM r""")
 def alias_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("member")).agg(F.min("o_orderdate").alias("first_message"), F.min("o_orderkey").alias("first_id"))
-    return names.alias_frame(orders, "member", ["first_message", "first_id", "member"]).select("member", "first_message", "alias")
+    return names.alias_frame(orders, ["first_message", "first_id", "member"]).select("member", "first_message", "alias")
 
 
 @query()
 def keyed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people(spark, sf_dir).withColumn("id", names.id_column("name", SALT))
+    return names.people_frame(people(spark, sf_dir), SALT).select("name", "id")
 
 
-@query("SELECT DISTINCT c_mktsegment AS name, lower(c_mktsegment) AS folded FROM customer")
+@query("SELECT DISTINCT name, lower(strip_accents(name)) AS folded FROM (SELECT replace(replace(c_mktsegment, 'A', 'Á'), 'U', 'ü') || ' Ñandú' AS name FROM customer UNION ALL SELECT c_mktsegment FROM customer)")
 def fold_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct().withColumn("folded", names.fold_column("name"))
+    """Segments as they are, and with marks over their letters."""
+    plain = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    marked = plain.select(F.concat(F.translate("name", "AU", "Áü"), F.lit(" Ñandú")).alias("name"))
+    return plain.union(marked).withColumn("folded", names.fold_column("name"))
 
 
 @query(f"""
@@ -52,16 +55,17 @@ def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mask_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = [r["name"] for r in people(spark, sf_dir).collect()]  # a chat has as many members as nations here
-    masker = NameMasker(members, SALT, extra_names=["then", "ouen"])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mask_column(masker, F.lit("text"), "text").alias("masked"))
+    """Conversations without the names of nations and regions and two more; as many members as a chat has."""
+    members = names.people_frame(people(spark, sf_dir), SALT)
+    found = {r["form"]: r["mark"] for r in marks_frame(names.forms_frame(members), members).collect()}
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mask_by_names(form_marks(["then", "ouen"], found), "text").alias("masked"))
 
 
 @query(r"""
-WITH words AS (SELECT rid, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[0-9a-z]+')) AS w FROM (SELECT row_number() OVER () AS rid, text FROM conversations WHERE NOT regexp_matches(text, '[^\x00-\x7F]')))
+WITH words AS (SELECT rid, list_distinct(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}]+')) AS w FROM (SELECT row_number() OVER () AS rid, text FROM conversations))
 SELECT form, count(*) AS hits FROM (SELECT unnest(w) AS form FROM words) WHERE form IN ('then', 'that', 'ouen') GROUP BY form""")
 def leak_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL folds only texts without any non-ASCII character and has fewer hits where others hold a form."""
+    """Every text, folded, accented ones too; in how many each form is."""
     return leaks(table(spark, sf_dir, "conversations"), ["then", "that", "ouen"])
 
 
@@ -73,10 +77,11 @@ def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT *, 'left' AS side FROM (SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders)
-UNION ALL SELECT *, 'right' FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)""")
+WITH l AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 <> 0), r AS (SELECT o_custkey AS id FROM orders WHERE o_totalprice > 200000)
+SELECT *, 'left' AS side FROM (SELECT * FROM l EXCEPT SELECT * FROM r) UNION ALL SELECT *, 'right' FROM (SELECT * FROM r EXCEPT SELECT * FROM l)""")
 def except_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return difference(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    some = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("id"))
+    return difference(some, table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id")))
 
 
 @query("SELECT count(*) AS customers, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)) AS silent FROM customer")
@@ -85,8 +90,8 @@ def anti_join_silent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").join(wrote, "c_custkey", "left").agg(F.count("*").alias("customers"), F.count_if(F.col("wrote").isNull()).alias("silent"))
 
 
-@query()
+@query("SELECT doc_id, lang FROM documents WHERE text IS NOT NULL ORDER BY md5('42-' || doc_id), doc_id LIMIT 200")
 def sample_reproducible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample of a fixed size: the rows with the least seeded hashes, among those that pass the filter."""
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(200).select("doc_id", "lang")
+    return docs.orderBy(F.md5(F.concat(F.lit("42-"), F.col("doc_id").cast("string"))), "doc_id").limit(200).select("doc_id", "lang")

@@ -3,30 +3,34 @@
 from __future__ import annotations
 
 import json
-import re
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corrillo.functions.text import LRM, message_kind
+from corrillo.functions.text import LRM, NNBSP, message_kind
 from corrillo.functions.times import chat_timestamp
 
+#: How a record of the export begins (fixed values).
 HEADER, SENDER, BEFORE_BODY = rf"^{LRM}?\[([^\]]*)\] ", r"^[^\]]*\] ([^:]+?):( |\z)", r"^[^\]]*\] [^:]+?:( |\z)"
 DATED = rf"^{LRM}?\[(\d{{2}})/(\d{{2}})/(\d{{2}}), "
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
     """record_no (from 1, empty records counted) and record of a file whose records end in CRLF; a lone LF is text.
 
+    With `empty`, empty records too, and whether a record is the last one.
+
     An export is one file and is read whole, as a lone line feed does not end a record; many chats are many tasks.
     """
     invalid = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1).count()
     if invalid:
         raise ValueError(f"{path} is not valid UTF-8")
     whole = spark.read.text(path, wholetext=True)
-    found = whole.select(F.posexplode(F.split("value", "\r\n", -1)).alias("i", "record"))
-    return found.select((F.col("i") + 1).cast("long").alias("record_no"), "record").where("record <> ''")
+    pieces = F.split("value", "\r\n", -1)
+    found = whole.select(F.size(pieces).alias("n"), F.posexplode(pieces).alias("i", "record"))
+    numbered = found.select((F.col("i") + 1).cast("long").alias("record_no"), "record", (F.col("i") == F.col("n") - 1).alias("last"))
+    return numbered if empty else numbered.where("record <> ''").drop("last")
 
 
 def parsed(found: DataFrame, group: str) -> DataFrame:
@@ -45,6 +49,16 @@ def bronze(spark: SparkSession, path: str, group: str) -> DataFrame:
     return found
 
 
+def header_check(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many records there are, and how many have each part of a header."""
+    found, header = records(spark, path, empty=True).where("NOT (last AND record = '')"), F.regexp_extract("record", HEADER, 1)
+    there = F.col("record") != ""
+    return found.agg(
+        F.count("*").alias("records"), F.count_if(~there).alias("empty_records"), F.count_if(header != "").alias("with_header"),
+        F.count_if(header.contains(NNBSP)).alias("narrow_space"), F.count_if(there & chat_timestamp(header).isNull()).alias("unread_time"),
+        F.count_if(there & (F.regexp_extract("record", SENDER, 1) == "")).alias("no_sender"), F.count_if(F.col("record").startswith(LRM)).alias("marked"))
+
+
 def date_range(spark: SparkSession, path: str) -> tuple[str, str, int]:
     """First and last date of the lines that begin a record, and how many there are."""
     lines = spark.read.text(path).where(F.col("value").rlike(DATED))
@@ -84,10 +98,3 @@ def publishable_texts(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".ipynb"):
         return spark.createDataFrame([("notebook", x) for x in notebook_texts(path)], "column string, text string")
     return spark.read.text(path, wholetext=True).select(F.lit("file").alias("column"), F.col("value").alias("text"))
-
-
-def chat_slug(name: str) -> str:
-    import unicodedata
-
-    plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode().lower()
-    return re.sub(r"[^a-z0-9]+", "_", plain).strip("_")

@@ -8,6 +8,7 @@ import os
 import re
 import time
 from collections.abc import Callable
+from dataclasses import dataclass, fields
 from enum import Enum
 from pathlib import Path
 
@@ -44,13 +45,28 @@ def valid_chat(name: str) -> str:
 
 def active_chat(params: dict, argument: str | None = None) -> str:
     """The argument, else CHAT of the environment, else the parameter."""
-    return valid_chat(argument or os.environ.get("CHAT") or params["chat"])
-
-
-def anonymize_settings(params: dict, chat: str) -> dict:
-    """The defaults under those of the chat."""
-    settings = params.get("anonymize", {})
-    return {**settings.get("defaults", {}), **settings.get("chats", {}).get(chat, {})}
+    name = argument or os.environ.get("CHAT") or params.get("chat")
+    if not name:
+        raise ValueError("no chat is chosen: pass one, or set `chat` in the parameters or CHAT")
+    return valid_chat(name)
+
+
+@dataclass(frozen=True)
+class Anonymization:
+    """The section `anonymize` of the parameters: what is a name, and what is none."""
+
+    min_length: int = 3
+    keep_words: tuple[str, ...] = ()
+    allow_names: tuple[str, ...] = ("Meta AI",)
+    extra_names: tuple[str, ...] = ()
+
+    @classmethod
+    def of(cls, params: dict) -> Anonymization:
+        """The parameters' section over the defaults; a setting that does not exist is an error, as names would stay unmasked."""
+        given = params.get("anonymize") or {}
+        if unknown := set(given) - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown settings in `anonymize`: {sorted(unknown)}")
+        return cls(**{k: v if isinstance(v, int) else tuple(v or ()) for k, v in given.items()})
 
 
 def load_salt(env_file: Path | None = None) -> bytes:

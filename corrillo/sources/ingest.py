@@ -8,20 +8,39 @@ import os
 import re
 import shutil
 import time
+import unicodedata
 import zipfile
 from pathlib import Path
 
-from corrillo.sources.config import Existing
+from corrillo.sources.config import Existing, active_chat, valid_chat
 
 log = logging.getLogger("corrillo")
 ARCHIVE = re.compile(r"(?:WhatsApp Chat - |WhatsApp Chat with |Chat de WhatsApp con )(.+)\.zip")
 
 
 def group_name(archive: Path) -> str:
+    """The group in the archive's name; the name itself where it has another form."""
     found = ARCHIVE.fullmatch(archive.name)
-    if not found:
-        raise ValueError(f"not an exported chat: {archive.name}")
-    return found[1]
+    return found[1] if found else archive.stem
+
+
+def slug_of(group: str) -> str:
+    """The folder of a group: its name in lower-case ASCII letters and digits, with _ between."""
+    plain = unicodedata.normalize("NFKD", group).encode("ascii", "ignore").decode().lower()
+    words = re.findall("[a-z0-9]+", plain)
+    if not words:
+        raise ValueError(f"no folder name can be made of {group!r}: pass the chat")
+    return "_".join(words)
+
+
+def chosen_export(params: dict, chat: str | None, archive: Path | None) -> tuple[str, Path]:
+    """The chat and its archive: an archive given comes before the registered one, and names the chat if that is not given."""
+    if archive is not None:
+        return (valid_chat(chat) if chat else slug_of(group_name(archive))), archive
+    name, registered = active_chat(params, chat), params.get("chats") or {}
+    if name not in registered:
+        raise ValueError(f"no archive is registered for {name!r}, only for {sorted(registered)}")
+    return name, Path(registered[name]).expanduser()
 
 
 def sha256(path: Path) -> str:
