@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrillo.functions.times import boundary_days, boundary_seconds, iso_weekday, month_label
-from corrillo.operators.ordering import previous
+from corrillo.operators.ordering import previous, running
 from corrillo.plans.base import query, table, timeline
 
 #: Names of the ISO weekdays (fixed values), Monday first.
@@ -19,7 +19,8 @@ FROM events GROUP BY user_id
 """)
 def sender_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_sender = timeline(spark, sf_dir).groupBy("sender").agg(F.count("*").alias("messages"))
-    return per_sender.withColumn("pct", F.round(100.0 * F.col("messages") / F.sum("messages").over(Window.partitionBy()), 6))
+    total = per_sender.agg(F.sum("messages").alias("total"))  # one row
+    return per_sender.crossJoin(F.broadcast(total)).select("sender", "messages", F.round(100.0 * F.col("messages") / F.col("total"), 6).alias("pct"))
 
 
 @query("""
@@ -28,11 +29,10 @@ run AS (SELECT sum(messages) OVER (ORDER BY messages DESC, user_id ROWS UNBOUNDE
 SELECT count(*) FILTER (upto <= 0.5 * total) + 1 AS people FROM run
 """)
 def sender_half_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many people write half of all messages; the running sum is over the senders, not over the messages."""
-    n = timeline(spark, sf_dir).groupBy("sender").agg(F.count("*").alias("messages"))
-    upto = F.sum("messages").over(Window.orderBy(F.desc("messages"), "sender").rowsBetween(Window.unboundedPreceding, 0))
-    run = n.select(upto.alias("upto"), F.sum("messages").over(Window.partitionBy()).alias("total"))
-    return run.agg((F.count_if(F.col("upto") <= 0.5 * F.col("total")) + 1).alias("people"))
+    """How many people write half of all messages; the running sum is over the senders, in ranges."""
+    n = timeline(spark, sf_dir).groupBy("sender").agg(F.count("*").alias("messages")).withColumn("fewest", -F.col("messages"))
+    upto = running(n, ["fewest", "sender"], "messages", "upto").crossJoin(F.broadcast(n.agg(F.sum("messages").alias("total"))))
+    return upto.agg((F.count_if(F.col("upto") <= 0.5 * F.col("total")) + 1).alias("people"))
 
 
 @query("""
@@ -191,3 +191,60 @@ def recent_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = messages.agg(F.max("timestamp").alias("last"))
     recent = F.col("timestamp") > F.col("last") - F.expr("INTERVAL '7' DAY")
     return messages.crossJoin(F.broadcast(last)).groupBy(recent.alias("recent")).agg(F.count("*").alias("messages"))
+
+
+@query("""
+WITH q AS (SELECT event_type AS kind, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type)
+SELECT kind, round(min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)), 6) AS low, round(max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)), 6) AS high,
+       count(*) FILTER (value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)) AS outside
+FROM events JOIN q ON event_type = kind GROUP BY kind
+""")
+def boxplot_whiskers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The farthest values within one and a half times the box, and how many lie beyond."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), "value")
+    box = e.groupBy("kind").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))  # a row per type
+    reach = (F.col("q")[1] - F.col("q")[0]) * 1.5
+    least, most, value = F.col("q")[0] - reach, F.col("q")[1] + reach, F.col("value")
+    return e.join(F.broadcast(box), "kind").groupBy("kind").agg(
+        F.round(F.min(F.when(value >= least, value)), 6).alias("low"), F.round(F.max(F.when(value <= most, value)), 6).alias("high"), F.count_if((value < least) | (value > most)).alias("outside"))
+
+
+@query("""
+SELECT count(*) AS senders, count(*) FILTER (median < mean) AS skewed
+FROM (SELECT user_id, avg(value) AS mean, median(value) AS median FROM events WHERE value IS NOT NULL GROUP BY user_id)
+""")
+def skewed_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Senders whose few long messages pull the mean above the median."""
+    n = timeline(spark, sf_dir).where("n_words IS NOT NULL").groupBy("sender").agg(F.avg("n_words").alias("mean"), F.median("n_words").alias("median"))
+    return n.agg(F.count("*").alias("senders"), F.count_if(F.col("median") < F.col("mean")).alias("skewed"))
+
+
+@query("""
+SELECT month, messages FROM (
+    SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS messages, count(DISTINCT CAST(o_orderdate AS DATE)) AS days, day(last_day(min(CAST(o_orderdate AS DATE)))) AS last
+    FROM orders GROUP BY 1) WHERE days = last
+""")
+def full_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_month(spark, sf_dir).where("NOT incomplete").select("month", "messages")
+
+
+@query("SELECT o_orderdate > (SELECT max(o_orderdate) - INTERVAL 1 YEAR FROM orders) AS recent, count(*) AS messages, count(DISTINCT o_custkey) AS people FROM orders GROUP BY 1")
+def year_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    last = o.agg(F.max("o_orderdate").alias("last"))
+    recent = F.col("o_orderdate") > F.col("last") - F.expr("INTERVAL '1' YEAR")
+    return o.crossJoin(F.broadcast(last)).groupBy(recent.alias("recent")).agg(F.count("*").alias("messages"), F.count_distinct("o_custkey").alias("people"))
+
+
+@query("SELECT DISTINCT CAST(l_shipdate AS DATE) AS day, CAST(CAST(l_shipdate AS DATE) - INTERVAL 1 YEAR AS DATE) AS year_before FROM lineitem WHERE day(l_shipdate) >= 28")
+def year_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A year before each day; before a leap day it is the 28th."""
+    days = table(spark, sf_dir, "lineitem").where(F.dayofmonth("l_shipdate") >= 28).select(F.to_date("l_shipdate").alias("day")).distinct()
+    return days.withColumn("year_before", F.col("day") - F.expr("INTERVAL '1' YEAR"))
+
+
+@query("SELECT event_type AS kind, count(*) AS messages FROM events WHERE value > 25.5 AND event_type <> 'click' GROUP BY event_type")
+def bound_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SQL over a frame with values bound by name, never put into the text."""
+    text = "SELECT event_type AS kind, count(*) AS messages FROM {events} WHERE value > :least AND event_type <> :but GROUP BY event_type"
+    return spark.sql(text, args={"least": 25.5, "but": "click"}, events=table(spark, sf_dir, "events"))

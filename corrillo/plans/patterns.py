@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrillo.functions import text as t
+from corrillo.operators.silver import notice_patterns
 from corrillo.plans.base import query, table
 
 #: Patterns of notices, the first that fits (fixed values, for the driver's documents).
 NOTICES = (("capitals", r"^[A-Z]+!!"), ("table", r" \| "), ("symbols", r"(###|\$\$\$|%%%|&&&|\*\*\*)"), ("token", r"token ="), ("email", r"@[\w-]+\."), ("digits", r"[0-9]{8}"))
 
 
+def _list(texts: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in texts) + "]"
+
+
 @query(r"""
 SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, chr(10), '')) AS line_feeds, length(text) - length(replace(text, chr(13), '')) AS returns,
        (length(text) - length(replace(text, chr(13) || chr(10), ''))) // 2 AS pairs, starts_with(text, chr(65279)) AS marked
@@ -95,8 +100,40 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumn("k", first).where("k = 1").drop("k")
 
 
-@query()
+#: What is put after the conversations' texts, which have no emojis, turn by turn.
+TAILS = ("", " \U0001f602\U0001f602", " \U0001f469\U0001f3fe\u200d\U0001f680 a", " \U0001f1f2\U0001f1fd\U0001f1ea\U0001f1f8", " 3\ufe0f\u20e3 \u2764\ufe0f :-) \u00a9")
+
+
+@query(rf"""
+WITH found AS (SELECT unnest(regexp_extract_all(text || {_list(TAILS)}[turn % {len(TAILS)} + 1], '{t.EMOJI}')) AS emoji FROM conversations)
+SELECT count(*) AS emojis, count(DISTINCT emoji) AS distinct_emojis, count(*) FILTER (contains(emoji, chr(8205))) AS joined, count(*) FILTER (regexp_matches(emoji, '[\x{{1F3FB}}-\x{{1F3FF}}]')) AS toned
+FROM found""")
 def emoji_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emojis of all texts, with joined sequences and skin tones; the tables' texts have few."""
-    found = table(spark, sf_dir, "conversations").select(F.explode(t.emojis(F.col("text"))).alias("emoji"))
+    """Emojis of all texts, each with a tail of emojis, with joined sequences and skin tones."""
+    tail = F.get(F.array(*map(F.lit, TAILS)), F.pmod("turn", F.lit(len(TAILS))).cast("int"))
+    found = table(spark, sf_dir, "conversations").select(F.explode(t.emojis(F.concat("text", tail))).alias("emoji"))
     return found.agg(F.count("*").alias("emojis"), F.count_distinct("emoji").alias("distinct_emojis"), F.count_if(F.col("emoji").contains("\u200d")).alias("joined"), F.count_if(F.col("emoji").rlike(r"[\x{1F3FB}-\x{1F3FF}]")).alias("toned"))
+
+
+#: Bodies of notices with invented names, by the number of an event.
+BODIES = tuple(body.format("\u200e") for body in (
+    "{}Meta AI pinned a message", "{}Eva pinned a message", "{}Eva pinned a message!", "{}Eva changed the group description", "{}Eva changed the group name to X", "{}Eva was added", "{}Eva added Leo",
+    "{}Eva removed Leo", "{}Eva left", "{}Leo joined using a link", "{}Eva turned on admin approval to join", "{}Eva changed the settings", "{}Messages are end-to-end encrypted.", "{}This message was deleted by admin Eva.",
+    "{}This message was deleted.", "{}Location: https://maps.example.org", "{}something else"))
+
+
+@query(f"""
+WITH bronze AS (
+    SELECT {_list(BODIES)}[event_id % {len(BODIES)} + 1] AS body,
+           CASE WHEN contains(body, 'deleted') THEN 'deleted' WHEN contains(body, 'Location') THEN 'location' WHEN event_type = 'click' THEN 'text' ELSE 'system_notice' END AS kind FROM events)
+SELECT kind, CASE WHEN contains(body, 'Meta AI') THEN 'Meta AI' WHEN suffix(body, ' pinned a message') THEN 'pinned a message' WHEN suffix(body, ' changed the group description') THEN 'changed the description'
+    WHEN contains(body, ' changed the group name') THEN 'changed the name' WHEN suffix(body, ' was added') THEN 'was added' WHEN contains(body, ' added ') THEN 'added' WHEN contains(body, ' removed ') THEN 'removed'
+    WHEN suffix(body, ' left') THEN 'left' WHEN contains(body, ' joined ') THEN 'joined' WHEN contains(body, 'admin approval') OR contains(body, 'changed the settings') THEN 'changed the settings'
+    WHEN contains(body, 'end-to-end encrypted') THEN 'encrypted' WHEN contains(body, 'by admin') THEN 'deleted by an admin' WHEN kind IN ('deleted', 'location') THEN kind ELSE 'other' END AS pattern,
+    count(*) AS records
+FROM bronze WHERE kind <> 'text' GROUP BY ALL""")
+def notice_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the notices of a chat say, on a chat made of the events' numbers."""
+    body = F.get(F.array(*map(F.lit, BODIES)), F.pmod("event_id", F.lit(len(BODIES))).cast("int"))
+    kind = F.when(F.col("body").contains("deleted"), "deleted").when(F.col("body").contains("Location"), "location").when(F.col("event_type") == "click", "text").otherwise("system_notice")
+    return notice_patterns(table(spark, sf_dir, "events").select("event_type", body.alias("body")).withColumn("kind", kind))

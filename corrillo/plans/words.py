@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corrillo.functions.text import CHAT_STOP_WORDS, STOP_WORDS, is_laugh, is_stop_word
-from corrillo.plans.base import query, table, words
+from corrillo.plans.base import per_group, query, table, word_list, words
 
 #: Thresholds of the distinctive vocabulary: content words of a sender, uses of a word, uses by the sender.
 SENDER_WORDS, WORD_USES, PAIR_USES, PER_SENDER = 2000, 50, 10, 8
@@ -27,9 +27,9 @@ def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content(tokens: DataFrame) -> DataFrame:
-    """Counted by sender and token first, so that the stop-word test runs once per distinct pair."""
+    """Counted by sender and token first; the stop-word test runs once per distinct pair."""
     pairs = tokens.where("sender IS NOT NULL").groupBy("sender", "token").agg(F.count("*").alias("uses"))
-    return pairs.where(~is_stop_word(F.col("token")))
+    return pairs.where(per_group(F.col("uses"), ~is_stop_word(F.col("token"))))
 
 
 def top(pairs: DataFrame, k: int) -> DataFrame:
@@ -54,7 +54,7 @@ def cloud_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DOCUMENTS} SELECT token, count(*) AS uses FROM tokens WHERE regexp_matches(token, '{_LAUGH_SQL}') GROUP BY token")
 def laughs(spark: SparkSession, sf_dir: str) -> DataFrame:
     uses = document_words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("uses"))
-    return uses.where(is_laugh(F.col("token")))
+    return uses.where(per_group(F.col("uses"), is_laugh(F.col("token"))))
 
 
 @query(f"WITH {_DOCUMENTS} SELECT CASE token WHEN 'buen' THEN 'bueno' WHEN 'mal' THEN 'malo' WHEN 'gran' THEN 'grande' WHEN 'primer' THEN 'primero' WHEN 'tercer' THEN 'tercero' ELSE token END AS lemma, count(*) AS uses "
@@ -63,7 +63,8 @@ def top_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top forms with adjective endings, apocopes under their long form."""
     from corrillo.functions.tagging import adjective_lemma
 
-    uses = document_words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n")).where(F.col("token").rlike("(os?|as?|es?|buen|mal|gran|primer|tercer)$"))
+    uses = document_words(spark, sf_dir).groupBy("token").agg(F.count("*").alias("n"))
+    uses = uses.where(per_group(F.col("n"), F.col("token").rlike("(os?|as?|es?|buen|mal|gran|primer|tercer)$")))
     return uses.groupBy(adjective_lemma(F.col("token")).alias("lemma")).agg(F.sum("n").alias("uses")).orderBy(F.desc("uses"), "lemma").limit(20)
 
 
@@ -72,8 +73,8 @@ SELECT count(*) AS messages, count(*) FILTER (spaces > 0) AS with_words, round(m
 FROM (SELECT len(regexp_extract_all(text, '[^ \n\t]+')) AS spaces, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS tokens FROM conversations)
 """)
 def word_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
-    n = table(spark, sf_dir, "conversations").select(size(r"[^ \n\t]+").alias("spaces"), size(r"\p{L}+").alias("tokens"))
+    spaces = F.array_remove(F.split("text", r"[ \n\t]+"), "")
+    n = table(spark, sf_dir, "conversations").select(F.size(spaces).alias("spaces"), F.size(word_list("text")).alias("tokens"))
     some = lambda c: F.round(F.median(F.when(F.col("spaces") > 0, F.col(c))), 4)
     return n.agg(F.count("*").alias("messages"), F.count_if(F.col("spaces") > 0).alias("with_words"), some("spaces").alias("median_by_spaces"), some("tokens").alias("median_tokens"))
 
@@ -160,10 +161,39 @@ def word_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crossJoin(F.broadcast(totals)).select("token", "now", "before", F.round(ratio, 6).alias("ratio"))
 
 
+_SHIFT = f"""
+WITH {_DOCUMENTS}, {_CONTENT}, half AS (SELECT token, doc_id > (SELECT max(doc_id) / 2 FROM documents) AS late FROM content),
+counts AS (SELECT token, count(*) FILTER (late) AS now, count(*) FILTER (NOT late) AS before FROM half GROUP BY token HAVING count(*) >= 40),
+totals AS (SELECT count(*) FILTER (late) AS all_now, count(*) FILTER (NOT late) AS all_before FROM half),
+shift AS (SELECT token, now, before, round((now / all_now) / nullif(before / all_before, 0), 6) AS ratio FROM counts, totals)
+"""
+
+
+@query(_SHIFT + "SELECT token, ratio, CAST(row_number() OVER (ORDER BY ratio DESC NULLS FIRST, token) AS INTEGER) AS rank FROM shift QUALIFY rank <= 30")
+def word_shift_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by how much commoner they became, new ones (without a ratio) first."""
+    first = word_shift(spark, sf_dir).orderBy(F.desc_nulls_first("ratio"), "token").limit(30)
+    return first.select("token", "ratio", F.row_number().over(Window.orderBy(F.desc_nulls_first("ratio"), "token")).alias("rank"))  # 30 rows
+
+
+@query(_SHIFT + """
+, steady AS (SELECT * FROM shift WHERE now >= 20 AND before >= 20)
+SELECT 'rising' AS side, token, ratio AS times FROM (SELECT * FROM steady ORDER BY ratio DESC, token LIMIT 12)
+UNION ALL SELECT 'falling', token, round(1 / ratio, 6) FROM (SELECT * FROM steady ORDER BY ratio, token LIMIT 12)
+""")
+def rising_falling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve words of both halves that rose and fell most, by how many times."""
+    steady = word_shift(spark, sf_dir).where("now >= 20 AND before >= 20")
+    rising = steady.orderBy(F.desc("ratio"), "token").limit(12).select(F.lit("rising").alias("side"), "token", F.col("ratio").alias("times"))
+    falling = steady.orderBy("ratio", "token").limit(12).select(F.lit("falling").alias("side"), "token", F.round(1 / F.col("ratio"), 6).alias("times"))
+    return rising.unionAll(falling)
+
+
 @query(f"""
 WITH {_DOCUMENTS}, per_doc AS (SELECT doc_id, count(*) AS words FROM tokens GROUP BY doc_id)
 SELECT d.doc_id, coalesce(words, 0) AS words FROM documents d LEFT JOIN per_doc USING (doc_id)
 """)
 def left_join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words per document, 0 without any: counted inside the row, with neither explode nor join."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))), F.lit(0)).cast("long").alias("words"))
+    """Words per document, 0 without any, by an outer join as where words are a table of their own."""
+    per_document = words(table(spark, sf_dir, "documents"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(per_document, "doc_id", "left").na.fill(0, ["words"])
