@@ -3,14 +3,23 @@
 A substring of SPAN bytes holds SPAN - GRAM + 1 grams of GRAM bytes; its anchor is the first one with the least hash.
 Equal substrings have their anchor at the same place, so comparing what lies around equal anchors finds every equal
 pair, with about one anchor for 14 bytes.
+
+Each anchor is cut in two by the offset it has in its substrings: up to HALF, all of them hold the CORE bytes from the
+anchor on; beyond HALF, the CORE bytes that end with the gram. Halves meet by their core, which is longer than the gram,
+so that a gram that very many texts have in different surroundings is no hot key.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
+from corrillo.llm.shingles import mixed
+
 SPAN, GRAM = 50, 24
 SPREAD = SPAN - GRAM + 1
+#: The largest offset of an anchor that stands for the bytes to its right, and the bytes that all substrings of a half share.
+HALF = SPREAD // 2
+CORE = SPAN - HALF
 BASE = 0x9E3779B97F4A7C15
 BLOCK = 1 << 15
 U64 = np.uint64
@@ -34,13 +43,13 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: anchor positions, their gram's hash, and the first and last start of the substrings they stand for."""
+def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text: anchor positions, and the first and last start of the substrings they stand for."""
     n = len(data)
     if n < SPAN:
         none = np.empty(0, np.int64)
-        return none, none.astype(U64), none, none
-    at, first, grams = [], [], []
+        return none, none, none
+    at, first = [], []
     last = -1
     for lo in range(0, n - SPAN + 1, BLOCK):
         hi = min(lo + BLOCK, n - SPAN + 1)  # starts lo..hi-1
@@ -55,19 +64,39 @@ def anchors_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         new = np.flatnonzero(np.diff(p, prepend=last - lo) != 0)
         at.append(p[new] + lo)
         first.append(new + lo)
-        grams.append(h[p[new]])
         last = int(p[-1]) + lo
-    at, first, grams = np.concatenate(at), np.concatenate(first), np.concatenate(grams)
-    return at, grams, first, np.append(first[1:], n - SPAN + 1) - 1
+    at, first = np.concatenate(at), np.concatenate(first)
+    return at, first, np.append(first[1:], n - SPAN + 1) - 1
+
+
+def halves_of(at: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors cut in two: which anchor, first and last start, and whether it stands for the bytes to its left."""
+    cut = at - HALF  # starts from here on have the anchor at HALF at most
+    right, left = np.flatnonzero(last >= cut), np.flatnonzero(first < cut)
+    which = np.concatenate([right, left])
+    firsts = np.concatenate([np.maximum(first, cut)[right], first[left]])
+    lasts = np.concatenate([last[right], np.minimum(last, cut - 1)[left]])
+    return which, firsts, lasts, np.arange(len(which)) >= len(right)
+
+
+def core_hashes(data: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A 64-bit hash, evenly spread, of the core of each half at `at`."""
+    if not len(at):
+        return np.empty(0, U64)
+    words = np.ndarray(len(data) - 7, U64, data, strides=(1,))  # eight bytes from every position
+    begin = at - np.where(left, CORE - GRAM, 0)
+    h = mixed(left.astype(U64) + U64(BASE))
+    for k in (*range(0, CORE - 8, 8), CORE - 8):
+        h = mixed(h * U64(BASE) + words[begin + k])
+    return h
 
 
 def anchors_of_all(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """anchors_of() of many texts laid end to end: text number, position in `data`, hash, first and last start in `data`; data and the texts' offsets."""
+    """The halves of many texts' anchors, laid end to end: text number, position in `data`, core hash, first and last start in `data`; data and the texts' offsets."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     parts = [anchors_of(data[a:b]) for a, b in zip(offsets, offsets[1:])]
-    sizes = [len(p[0]) for p in parts]
-    number = np.repeat(np.arange(len(texts)), sizes)
-    shift = offsets[number]
-    cat = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64)
-    return number, cat(0) + shift, cat(1).astype(U64), cat(2) + shift, cat(3) + shift, data, offsets
+    number = np.repeat(np.arange(len(texts)), [len(p[0]) for p in parts])
+    at, first, last = (np.concatenate([np.empty(0, np.int64), *(p[i] for p in parts)]) + offsets[number] for i in range(3))
+    which, first, last, left = halves_of(at, first, last)
+    return number[which], at[which], core_hashes(data, at[which], left), first, last, data, offsets

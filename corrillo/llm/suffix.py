@@ -3,11 +3,12 @@
 Of all suffixes only those at the anchors of 50-byte strings are sorted (see anchors.py); what an anchor stands for, its
 bytes to the right and then those to the left, is its key.
 
-1. Documents are dealt to buckets of bounded size. Each bucket sends the hashes of its anchors' grams to the owners of
+1. Documents are dealt to buckets of bounded size. Each bucket sends the hashes of its anchors' cores to the owners of
    hash ranges, which answer which of them occur elsewhere. Anchors that occur nowhere else need not travel.
 2. Each bucket sorts the keys that are left, settles those it holds twice itself (one with a larger doc_id than an
    equal one is covered whole), and sends the others as front-coded runs: shared prefix length, then the rest.
-3. The receivers merge the runs with a loser tree that never compares known prefixes again. Runs of keys with one gram
+3. The receivers, one for each range of core hashes, merge the runs with a loser tree that never compares known prefixes
+   again. Runs of keys with one gram
    lie together; prefix lengths to the right and to the left tell which 50-byte strings are equal, and which of them
    occur under a smaller doc_id.
 4. Each bucket gets its covered ranges back, joins them and removes their bytes.
@@ -83,17 +84,22 @@ def prefix_lengths(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], found])
 
 
-def send_grams(parts: int):
+def short(cores: np.ndarray, bits: int) -> np.ndarray:
+    """The leading `bits` bits of core hashes: enough to tell most cores apart; one taken for another only travels in vain."""
+    return cores >> np.uint64(64 - bits)
+
+
+def send_cores(parts: int, bits: int):
     def run(key: tuple, bucket: pa.Table) -> pa.Table:
-        grams = np.unique(anchors_of_all(bucket_texts(unpacked(bucket))[2])[2])
-        cuts = split_by_range(grams, parts)
-        return rows_of(SENT, [(p, key[0].as_py(), pack_sorted(grams[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
+        cores = np.unique(short(anchors_of_all(bucket_texts(unpacked(bucket))[2])[2], bits))
+        cuts = split_by_range(cores << np.uint64(64 - bits), parts)
+        return rows_of(SENT, [(p, key[0].as_py(), pack_sorted(cores[a:b])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b])
 
     return run
 
 
-def answer_grams(sent: pa.Table) -> pa.Table:
-    """To each bucket those of its grams that another bucket has too."""
+def answer_cores(sent: pa.Table) -> pa.Table:
+    """To each bucket those of its cores that another bucket has too."""
     lists = [unpack_sorted(k) for k in sent["keys"].to_pylist()]
     keys = np.concatenate(lists)
     order = np.argsort(keys, kind="stable")
@@ -104,23 +110,24 @@ def answer_grams(sent: pa.Table) -> pa.Table:
     return rows_of(ANSWERED, [(b, pack_sorted(x)) for b, x in zip(sent["bucket"].to_pylist(), answers) if len(x)])
 
 
-def send_runs(parts: int):
+def send_runs(parts: int, bits: int):
     def run(bucket: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(bucket):
             return rows_of(RUN, [])
         name = bucket["bucket"][0].as_py()
         _, ids, texts = bucket_texts(unpacked(bucket))
-        number, at, gram, first, last, data, _ = anchors_of_all(texts)
+        number, at, core, first, last, data, _ = anchors_of_all(texts)
         elsewhere = np.sort(np.concatenate([np.empty(0, np.uint64), *map(unpack_sorted, answers["keys"].to_pylist())]))
         doc = ids[number]
-        order = np.argsort(gram, kind="stable")
-        bounds = np.flatnonzero(np.diff(gram[order], prepend=~gram[order][:1]) != 0)
-        here = np.zeros(len(gram), bool)
+        order = np.argsort(core, kind="stable")
+        bounds = np.flatnonzero(np.diff(core[order], prepend=~core[order][:1]) != 0)
+        here = np.zeros(len(core), bool)
         if len(order):
             several = np.minimum.reduceat(doc[order], bounds) < np.maximum.reduceat(doc[order], bounds)
             here[order] = np.repeat(several, np.diff(np.append(bounds, len(order))))
-        where = np.minimum(np.searchsorted(elsewhere, gram), max(0, len(elsewhere) - 1))
-        going = np.flatnonzero(here | (elsewhere[where] == gram) if len(elsewhere) else here)
+        brief = short(core, bits)
+        where = np.minimum(np.searchsorted(elsewhere, brief), max(0, len(elsewhere) - 1))
+        going = np.flatnonzero(here | (elsewhere[where] == brief) if len(elsewhere) else here)
         going = going[np.argsort(doc[going], kind="stable")]
         keys = keys_of(data, at[going], first[going], last[going])
         order = sorted_order(keys)
@@ -133,7 +140,7 @@ def send_runs(parts: int):
         settled = going[~mine]
         rows = [(name % parts, name, SETTLED, b"", b"", pack(first[settled]), pack(last[settled] + SPAN))] if len(settled) else []
         going, keys = going[mine], keys[mine]
-        part = (gram[going] // np.uint64((1 << 64) // parts + 1)).astype(np.int64)
+        part = (core[going] // np.uint64((1 << 64) // parts + 1)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         going, keys, part = going[order], keys[order], part[order]
         cuts = np.searchsorted(part, np.arange(parts + 1))
@@ -276,32 +283,31 @@ def cut_texts(columns: list[str], text: str):
     return run
 
 
-def covered_ranges(docs: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]:
+def covered_ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs dealt to buckets, and the ranges to remove by bucket."""
+    n_bytes = text_bytes(docs)
+    buckets = max(bucket_count(n_bytes, BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bits = min(64, n_bytes.bit_length() + 12)  # a core is taken for another one about once in 40,000
     rows = docs.withColumns({
         "__id": F.col("doc_id").cast("long"), "__data": F.col("text").cast("binary"),
         "__bucket": F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long"),
     })
     found = dealt(rows.drop("text"), "__bucket")
-    answers = found.groupBy("bucket").applyInArrow(send_grams(buckets), SENT).groupBy("part").applyInArrow(answer_grams, ANSWERED)
-    runs = found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_runs(buckets), RUN)
+    answers = found.groupBy("bucket").applyInArrow(send_cores(buckets, bits), SENT).groupBy("part").applyInArrow(answer_cores, ANSWERED)
+    runs = found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(send_runs(buckets, bits), RUN)
     return found, runs.groupBy("part").applyInArrow(merge_runs, COVERED)
 
 
-def buckets_for(docs: DataFrame) -> int:
-    return max(bucket_count(text_bytes(docs), BUCKET_BYTES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """What is removed from every document, and the digest of what is left."""
     docs = docs.select("doc_id", "text")
-    found, covered = covered_ranges(docs, buckets_for(docs))
+    found, covered = covered_ranges(docs)
     return found.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(report_spans, SPANS)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts; all rows and columns stay."""
-    found, covered = covered_ranges(docs, buckets_for(docs))
+    found, covered = covered_ranges(docs)
     return found.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(cut_texts(docs.columns, "text"), docs.schema)
 
 
