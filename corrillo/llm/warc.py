@@ -2,15 +2,19 @@
 
 Both refer to the response by WARC-Refers-To, keep its target URI, date and payload digest, and carry the source's
 HTTP headers (metadata in its fields, conversion by the link). Everything is column expressions in one pass over the
-responses, without a shuffle. read_warc() takes records by their Content-Length; write_warc() writes text files.
+responses, without a shuffle. read_warc() takes records by their Content-Length, captured() the responses among them;
+write_warc() writes text files.
 
 Defined results: a null payload counts as empty and yields an empty text; a null url is an empty target URI; repeated
-responses give equal records with equal identifiers; an empty table gives an empty result; other columns are dropped.
+responses give equal records with equal identifiers; a very long page is one value and derived whole; an empty table
+gives an empty result; other columns, whatever their names, are dropped; damaged records are defined at parse_warc().
 """
 
 from __future__ import annotations
 
 import gzip
+import io
+import zlib
 from collections.abc import Iterator
 from html import unescape
 from html.entities import html5
@@ -39,8 +43,6 @@ NAMES = {n: html5[n].replace("\xa0", " ") for n in ("amp;", "lt;", "gt;", "quot;
 #: Code points that stand for something else than their character, by html.unescape; U+FEFF would be read as a byte order mark.
 NUMBERS = {str(n): unescape(f"&#{n};").replace("\xa0", " ") for n in (*range(0xA1), *range(0xFDD0, 0xFDF0), 0xFEFF, *(p * 0x10000 + n for p in range(17) for n in (0xFFFE, 0xFFFF)))}
 UNKNOWN = "\ufffd"
-#: The entities that the SQL knows and their characters (fixed values), the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 DERIVED = "metadata", "conversion"
 
 
@@ -108,6 +110,19 @@ def responses(pages: DataFrame) -> DataFrame:
     )
 
 
+def captured(records: DataFrame) -> DataFrame:
+    """Response records as read_warc() gives them, in the columns of responses(); page_id is null, as WARC has none.
+
+    Records of other types are left out; bytes that are not UTF-8 become replacement characters; without a record id a
+    record is known by its target, date and block.
+    """
+    http = F.make_valid_utf8(F.coalesce("block", F.lit(b"")).cast("string"))
+    made = record_id(F.lit("response"), "target_uri", "warc_date", F.md5("block"))
+    return records.where("lower(record_type) = 'response'").select(
+        F.lit(None).cast("long").alias("page_id"), F.coalesce("record_id", made).alias("record_id"),
+        F.coalesce("target_uri", F.lit("")).alias("target_uri"), F.coalesce("warc_date", F.lit("")).alias("warc_date"), http.alias("http"))
+
+
 def derive(found: DataFrame) -> DataFrame:
     """Two records of each response, with the columns of a WARC header and the block."""
     http = F.coalesce("http", F.lit(""))
@@ -145,34 +160,71 @@ def write_warc(records: DataFrame, path: str) -> None:
     records.select(F.concat(head, F.lit(CRLF), F.col("block"), F.lit(CRLF))).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record, by Content-Length."""
-    at = data.find(b"WARC/")
-    while at >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(headers.get("content-length", 0))
-        yield headers, data[end + 4 : end + 4 + size]
-        at = data.find(b"WARC/", end + 4 + size)
+class Cursor:
+    """Bytes from a file that is opened piece by piece; gzip members, of which a WARC file has one a record, follow each other."""
+
+    def __init__(self, content: bytes) -> None:
+        self.file = gzip.open(io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
+
+    def line(self) -> bytes:
+        return self._safe(self.file.readline)
+
+    def take(self, size: int) -> bytes:
+        return self._safe(lambda: self.file.read(size))
+
+    @staticmethod
+    def _safe(read) -> bytes:
+        """What a cut off or damaged member still gives is nothing."""
+        try:
+            return read()
+        except (EOFError, gzip.BadGzipFile, zlib.error):
+            return b""
+
+
+def parse_warc(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record, by Content-Length; one record is in memory at a time.
+
+    What is not a record is skipped up to the next line that begins one. A record cut off at the end of the file gives
+    what is there; one without a readable length has an empty block. Both say so by a header `x-problem`.
+    """
+    cursor = Cursor(content)
+    while line := cursor.line():
+        if not line.startswith(b"WARC/"):
+            continue
+        headers: dict[str, str] = {}
+        while (line := cursor.line()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        length = headers.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else 0
+        block = cursor.take(size)
+        if not line:
+            headers["x-problem"] = "headers cut off"
+        elif not length.isdigit():
+            headers["x-problem"] = "no length"
+        elif len(block) < size:
+            headers["x-problem"] = "block cut off"
+        yield headers, block
+
+
+READ = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "x-problem")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """record_type, record_id, refers_to, target_uri, warc_date, content_type and block of the records of WARC files, gzipped or not.
+    """record_type, record_id, refers_to, target_uri, warc_date, content_type, problem and block of the records of WARC files, gzipped or not.
 
-    A task holds one file: WARC files are customarily cut at 1 GB.
+    A task holds one file as it is stored (they are customarily cut at 1 GB) and one record opened.
     """
-    names = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type")
+    columns = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "problem", "block"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for data in frame["content"]:
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(*(h.get(n) for n in names), block) for h, block in parse_warc(data)]
-                yield pd.DataFrame(rows, columns=["record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block"])
+            for content in frame["content"]:
+                for headers, block in parse_warc(content):
+                    yield pd.DataFrame([(*map(headers.get, READ), block)], columns=columns)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, block binary")
+    return files.mapInPandas(run, ", ".join(f"{c} string" for c in columns[:-1]) + ", block binary")
 
 
 def op10_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,9 +241,11 @@ def _sql_plain(x: str) -> str:
 
 
 def _sql_unescaped(x: str) -> str:
-    for entity, char in ENTITIES:
-        x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return x
+    """Named references with a semicolon and numeric ones, each by itself; open and quirky ones, which no page of the tables has, stay as they are."""
+    one = "CASE WHEN r ~ '&#[xX][0-9a-fA-F]+;' THEN chr(CAST('0x' || r[4:-2] AS INTEGER)) WHEN r ~ '&#[0-9]+;' THEN chr(CAST(r[3:-2] AS INTEGER)) ELSE coalesce(names[r[2:]], r) END"
+    pattern = "'&#[xX][0-9a-fA-F]{1,5};|&#[0-9]{1,6};|&[A-Za-z][A-Za-z0-9]*;'"
+    between, found = f"string_split_regex({x}, {pattern})", f"regexp_extract_all({x}, {pattern})"
+    return f"replace(array_to_string(list_transform(list_zip({between}, list_transform({found}, lambda r: {one})), lambda p: p[1] || coalesce(p[2], '')), ''), chr(160), ' ')"
 
 
 def _sql_id(x: str) -> str:
@@ -199,7 +253,8 @@ def _sql_id(x: str) -> str:
 
 
 OP10_SQL = f"""
-WITH source AS (
+WITH entities AS (SELECT MAP {{{", ".join(f"'{n}': '{c.replace(chr(39), chr(39) * 2)}'" for n, c in NAMES.items() if n.endswith(";"))}}} AS names),
+source AS (
     SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS html,
            {_sql_id("concat_ws('|', 'response', CAST(page_id AS VARCHAR), url)")} AS refers_to,
            strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(((page_id % 8784) + 8784) % 8784 AS INTEGER)), '%Y-%m-%dT%H:%M:%SZ') AS warc_date
@@ -207,7 +262,7 @@ WITH source AS (
 body AS (
     SELECT *, 'sha256:' || sha256(html) AS payload_digest, {_sql_plain("html")} AS text, regexp_extract_all(html, '{LINKS}', 1) AS links,
            trim(regexp_replace({_sql_unescaped(f"regexp_extract(html, '{TITLE}', 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title, regexp_extract(html, '{LANG}', 1) AS lang
-    FROM source),
+    FROM source, entities),
 blocks AS (
     SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
            'title: ' || title || chr(13) || chr(10) || 'language: ' || lang || chr(13) || chr(10) || 'sourcePayloadDigest: ' || payload_digest || chr(13) || chr(10)
