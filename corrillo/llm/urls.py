@@ -10,8 +10,9 @@ by a count) is broadcast; a larger one is joined by a shuffle on pattern and one
 each salt, so that one host's captures spread over many tasks.
 
 Defined results: a null or unparsable url has host '' and is not blocked; a null fetch time meets no interval; entries
-of one pattern and date count in the order add, remove; repeated captures give a row each; empty tables give an empty
-result (no captures) or nothing blocked (no entries); other columns are dropped.
+of one pattern and date count in the order add, remove; repeated captures give a row each; a very long url is judged
+whole; empty tables give an empty result (no captures) or nothing blocked (no entries); other columns, whatever their
+names, are dropped.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from corrillo.llm.common import table
 
 BROADCAST_ENTRIES = 100_000
 SALTS = 32
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
+#: A host as it stands in a url, an IPv6 address in its brackets.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:@]+)"
+ROOT_DOTS = r"\.+$"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)"
 #: The crawl's clock: page k is fetched k hours after its start, within CRAWL_HOURS.
 CRAWL_START, CRAWL_HOURS = "2024-01-01 00:00:00", 8784
-#: The dated list (fixed values): host without top-level domain, path, date, action, category.
+#: The dated list of the registered query (fixed values; read_entries() reads any other): host without top-level domain, path, date, action, category.
 HISTORY = (
     ("spam-farm.example", "", "2024-01-03", "add", "spam"),
     ("spam-farm.example", "", "2024-04-01", "remove", "spam"),
@@ -49,16 +52,19 @@ ENTRIES = tuple((f"{host}.{top}{path}", *rest) for host, path, *rest in HISTORY
 
 
 def host_of(url: Column) -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
+    """In lower case, without the dot of the root; an address is a host without parents."""
+    return F.coalesce(F.regexp_replace(F.lower(F.regexp_extract(url, HOST, 1)), ROOT_DOTS, ""), F.lit(""))
 
 
 def url_keys(url: Column) -> Column:
     """The host, every parent domain of it, and the host and its parents with the first path segment."""
-    labels = F.split(host_of(url), r"\.", -1)
+    host = host_of(url)
+    address = host.rlike(r"^\[|^[0-9.]+$")
+    labels = F.when(address, F.array(host)).otherwise(F.split(host, r"\.", -1))
     names = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segment = F.coalesce(F.regexp_extract(url, SEGMENT, 1), F.lit(""))
     paths = F.when(segment != "", F.transform(names, lambda n: F.concat(n, F.lit("/"), segment))).otherwise(F.array().cast("array<string>"))
-    return F.when(host_of(url) == "", F.array().cast("array<string>")).otherwise(F.concat(names, paths))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(names, paths))
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -105,6 +111,18 @@ def list_entries(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS entries(pattern, at, action, category)")
 
 
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """A dated list from CSV files with a header: pattern, at, action, category. Patterns are compared in lower case, without the dot of the root.
+
+    Lines without a pattern, a readable time or one of the two actions are no entries.
+    """
+    found = spark.read.csv(path, header=True, schema="pattern string, at string, action string, category string")
+    host, rest = F.substring_index("pattern", "/", 1), F.regexp_extract("pattern", "/.*$", 0)
+    pattern = F.concat(F.regexp_replace(F.lower(F.trim(host)), ROOT_DOTS, ""), rest)
+    entries = found.select(pattern.alias("pattern"), F.try_to_timestamp("at").cast("timestamp_ntz").alias("at"), F.lower(F.trim("action")).alias("action"), "category")
+    return entries.where("pattern <> '' AND at IS NOT NULL AND action IN ('add', 'remove')")
+
+
 def op7_temporal_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", crawl_time(F.col("page_id")).alias("fetch_time"))
     return judged(pages, list_entries(spark))
@@ -118,7 +136,7 @@ rules AS (
 captures AS (
     SELECT row_number() OVER () AS rid, page_id, url,
            TIMESTAMP '{CRAWL_START}' + to_hours(CAST(((page_id % {CRAWL_HOURS}) + {CRAWL_HOURS}) % {CRAWL_HOURS} AS INTEGER)) AS fetch_time,
-           coalesce(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, coalesce(regexp_extract(url, '{SEGMENT}', 1), '') AS segment
+           coalesce(regexp_replace(lower(regexp_extract(url, '{HOST}', 1)), '{ROOT_DOTS}', ''), '') AS host, coalesce(regexp_extract(url, '{SEGMENT}', 1), '') AS segment
     FROM pages),
 active AS (
     SELECT c.rid, r.pattern, r.category, row_number() OVER (PARTITION BY c.rid ORDER BY length(r.pattern) DESC, r.pattern, r.category) AS k,
