@@ -6,11 +6,12 @@ on clockwise to the next virtual node. The law kept is `rows`: capacities differ
 number of rows, so every shard ends exactly full.
 
 What meets on the driver is one count per slot (RING_SLOTS at most, whatever the input); the walk round the ring is
-arithmetic over these counts. Rows are ranked inside their slot and find their shard by joining the slot's rank
-ranges, a table bounded by slots and virtual nodes.
+arithmetic over these counts. Equal rows are counted first and are one group from then on; groups are ranked inside
+their slot and find their shards by joining the slot's rank ranges, a table bounded by slots and virtual nodes.
 
 Defined results: a null key is placed by its text (and a null text counts 0 bytes); repeated rows are separate rows
-and get separate places; an empty table gives an empty result; other columns are dropped.
+and get separate places; which of two rows that tie in key and text comes first does not matter, as they are equal; very
+long texts count by their length and hash alone, which are all that leaves the scan; an empty table gives an empty result; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrillo.llm.common import table
+from corrillo.llm.common import table, written
 
 RING_SLOTS = 16_384
+SUBSLOTS = 64
+#: Equal rows that one task lists.
+CHUNK_ROWS = 100_000
 VNODES = 64
 SHARDS = 40
 ROW_OVERHEAD = 16
@@ -93,31 +97,53 @@ def ring_key(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.when(F.col(key).isNull(), F.col(text)))
 
 
+def placed(keyed: DataFrame) -> DataFrame:
+    """Groups of equal rows with n, and the rank of the first one in its slot on the ring.
+
+    A slot is ranked in SUBSLOTS parts, so that neither a key with very many texts nor a text with very many rows, which
+    are one group by then, is a hot task.
+    """
+    part = "slot_on_ring", "subslot"
+    order = Window.partitionBy(*part).orderBy("h", "doc_id", "text_crc32", "size")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = keyed.groupBy(*part).agg(F.sum("n").alias("rows"))
+    firsts = sums.select(*part, F.coalesce(F.sum("rows").over(before(Window.partitionBy("slot_on_ring").orderBy("subslot"))), F.lit(0)).alias("ahead"))
+    ranked = keyed.withColumn("rank", F.coalesce(F.sum("n").over(before(order)), F.lit(0)))
+    return ranked.join(firsts, list(part)).withColumn("rank", F.col("rank") + F.col("ahead"))
+
+
+def row_by_row(groups: DataFrame) -> DataFrame:
+    """A row for each of the `n` rows of a group, slots from `slot` on. Large groups are cut up and dealt to all tasks first."""
+    each = lambda g: g.withColumn("slot", F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("n") - 1)))
+    cut = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK_ROWS).cast("long")))
+    chunks = groups.where(F.col("n") > CHUNK_ROWS).withColumn("at", cut)
+    chunks = chunks.withColumns({"slot": F.col("slot") + F.col("at"), "n": F.least(F.col("n") - F.col("at"), F.lit(CHUNK_ROWS))}).drop("at")
+    spread = chunks.repartition(F.xxhash64("doc_id", "text_crc32", "shard", "slot"))
+    return each(groups.where(F.col("n") <= CHUNK_ROWS)).unionByName(each(spread))
+
+
 def bounded_ring(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, vnodes: int = VNODES) -> DataFrame:
     """One row per input row: key, size, text_crc32, law, shard, slot (gapless in its shard), grown_shard (null under this law)."""
     spark = df.sparkSession
-    keyed = df.select(
+    h = ring_key(key, text)
+    rows = df.select(
+        F.pmod(h, F.lit(RING_SLOTS)).cast("int").alias("slot_on_ring"),
+        F.pmod(F.xxhash64(h, text), F.lit(SUBSLOTS)).cast("int").alias("subslot"),
+        h.alias("h"),
         F.col(key).alias("doc_id"),
-        (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        ring_key(key, text).alias("h"),
-    ).withColumn("slot_on_ring", F.pmod(F.col("h"), F.lit(RING_SLOTS)).cast("int"))
-    counts = {
-        r["slot"]: r["n"]
-        for r in df.groupBy(F.pmod(ring_key(key, text), F.lit(RING_SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).collect()
-    }  # at most RING_SLOTS rows
+        (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_OVERHEAD).cast("long").alias("size"),
+    )
+    equal = written(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")), "ring-rows")
+    counts = {r["slot_on_ring"]: r["rows"] for r in equal.groupBy("slot_on_ring").agg(F.sum("n").alias("rows")).collect()}  # at most RING_SLOTS rows
     places = walk(build_ring(spark, shards, vnodes), counts, capacities(sum(counts.values()), shards))
     ranges = spark.createDataFrame(places, PLACES).hint("broadcast")  # bounded by slots and virtual nodes
-    rank = F.row_number().over(Window.partitionBy("slot_on_ring").orderBy("h", "doc_id", "text_crc32", "size")).cast("long") - 1
-    ranked = keyed.withColumn("rank", rank)
-    inside = (ranked.slot_on_ring == ranges.slot_on_ring) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to"))
-    return ranked.join(ranges, inside).select(
-        "doc_id", "size", "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("first_place") + F.col("rank") - F.col("rank_from")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    groups = placed(equal)
+    inside = (groups.slot_on_ring == ranges.slot_on_ring) & (F.col("rank") < F.col("rank_to")) & (F.col("rank") + F.col("n") > F.col("rank_from"))
+    begin, end = F.greatest("rank", "rank_from"), F.least(F.col("rank") + F.col("n"), F.col("rank_to"))
+    pieces = groups.join(ranges, inside).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("first_place") + begin - F.col("rank_from")).alias("slot"), (end - begin).alias("n"))
+    return row_by_row(pieces).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
