@@ -6,6 +6,9 @@ place, in two independent 64-bit halves). A conversation whose whole hash is ano
 length, that other being longer, goes in an anti-join; of equal conversations the smallest conv_id stays. What
 remains is rendered, in the markup of `ROLE_OPEN` and `ROLE_CLOSE`.
 
+Texts cross the network once to be placed and hashed, in a stored table; hashes are compared without them, and only the
+turns of conversations that stay cross it again to be rendered.
+
 A very long conversation is not one sort: turns are ranked and hashed in blocks of BLOCK_TURNS turn numbers, and the
 blocks' sums run along the conversation. Only the rendered text of one conversation meets in one place, as it is one
 value of the result.
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corrillo.llm.common import table
+from corrillo.llm.common import table, written
 
 BLOCK_TURNS = 256
 ROLE_OPEN, ROLE_CLOSE, ROLE_UNKNOWN = "<|im_start|>", "<|im_end|>\n", "unknown"
@@ -30,48 +33,57 @@ def rendered_turn(role: Column, text: Column) -> Column:
     return F.concat(F.lit(ROLE_OPEN), F.coalesce(role, F.lit(ROLE_UNKNOWN)), F.lit("\n"), F.coalesce(text, F.lit("")), F.lit(ROLE_CLOSE))
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """turns with n (its place from 1) and the two halves of the hash of all turns up to it."""
+def placed(turns: DataFrame) -> DataFrame:
+    """The turns of a table with n (the place from 1), block, and two halves h1, h2 of each turn's own hash; c and none stand for conv_id.
+
+    One exchange of whole turns, by conversation and block, ranks them; where a block begins comes from the blocks' sizes.
+    """
+    key = (F.coalesce("conv_id", F.lit(0).cast(dict(turns.dtypes)["conv_id"])).alias("c"), F.col("conv_id").isNull().alias("none"))
+    block = F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))).cast("long").alias("block")
     text = F.coalesce("text", F.lit(""))
-    block = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    upto = block.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = Window.partitionBy("conv_id").orderBy("block")
-    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    base = turns.select("conv_id", "turn", "role", "text", F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), F.lit(-(2**62))).alias("block"))
-    sizes = base.groupBy("conv_id", "block").agg(F.count("*").alias("rows")).select("conv_id", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
-    same = lambda a, b: a.conv_id.eqNullSafe(b.conv_id) & (a.block == b.block)
-    ranked = base.withColumn("in_block", F.row_number().over(block))
-    placed = ranked.join(sizes, same(ranked, sizes)).drop(sizes.conv_id, sizes.block).withColumn("n", F.col("first") + F.col("in_block"))
-    hashed = placed.withColumns({
-        "h1": F.xxhash64("n", F.col("role").isNull(), "role", text),
-        "h2": F.xxhash64(F.lit("second"), text, "role", F.col("role").isNull(), "n"),
-    })
-    inner = hashed.withColumns({"h1": F.bit_xor("h1").over(upto), "h2": F.bit_xor("h2").over(upto)})
-    sums = hashed.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("b1"), F.bit_xor("h2").alias("b2"))
-    sums = sums.select("conv_id", "block", *(F.coalesce(F.bit_xor(b).over(before), F.lit(0).cast("long")).alias(b) for b in ("b1", "b2")))
-    return inner.join(sums, same(inner, sums)).drop(sums.conv_id, sums.block).select(
-        "conv_id", "n", "role", "text",
-        F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"),
-        F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"),
+    before = Window.partitionBy("c", "none").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = turns.select(*key, block).groupBy("c", "none", "block").agg(F.count("*").alias("rows"))
+    firsts = sizes.select("c", "none", "block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("c", "none", "block").orderBy("turn", "role", "text"))
+    ranked = turns.select(*key, block, "turn", "role", "text").withColumn("rank", rank)
+    found = ranked.join(firsts, ["c", "none", "block"]).withColumn("n", F.col("first") + F.col("rank"))
+    return found.select(
+        "c", "none", "block", "n", rendered_turn(F.col("role"), F.col("text")).alias("piece"),
+        F.xxhash64("n", F.col("role").isNull(), "role", text).alias("h1"),
+        F.xxhash64(F.lit("second"), text, "role", F.col("role").isNull(), "n").alias("h2"),
     )
 
 
+def prefix_hashes(found: DataFrame) -> DataFrame:
+    """c, none, n, the two halves of the hash of all turns up to each, and whether it is the last; texts stay behind."""
+    upto = Window.partitionBy("c", "none", "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("c", "none").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inner = found.select("c", "none", "block", "n", *(F.bit_xor(h).over(upto).alias(h) for h in ("h1", "h2")))
+    sums = found.groupBy("c", "none", "block").agg(F.bit_xor("h1").alias("b1"), F.bit_xor("h2").alias("b2"), F.max("n").alias("last"))
+    sums = sums.select("c", "none", "block", F.max("last").over(Window.partitionBy("c", "none")).alias("last"), *(F.coalesce(F.bit_xor(b).over(before), F.lit(0).cast("long")).alias(b) for b in ("b1", "b2")))
+    return inner.join(sums, ["c", "none", "block"]).select(
+        "c", "none", "n", F.col("h1").bitwiseXOR(F.col("b1")).alias("h1"), F.col("h2").bitwiseXOR(F.col("b2")).alias("h2"), (F.col("n") == F.col("last")).alias("ends"))
+
+
 def maximal(prefixes: DataFrame) -> DataFrame:
-    """conv_id and n_turns of the conversations that no other one continues, one of each set of equal ones."""
-    whole = prefixes.groupBy("conv_id").agg(F.max_by(F.struct("n", "h1", "h2"), "n").alias("w")).select("conv_id", "w.*")
-    distinct = whole.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
-    inner = prefixes.join(whole.select(F.col("conv_id").alias("c"), F.col("n").alias("last")), F.col("conv_id").eqNullSafe(F.col("c")))
-    inner = inner.where("n < last").select("n", "h1", "h2").distinct()
-    return distinct.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"))
+    """c, none and n_turns of the conversations that no other one continues, one of each set of equal ones."""
+    least = F.min(F.struct("none", "c"))  # a null id only if there is no other
+    whole = prefixes.where("ends").groupBy("n", "h1", "h2").agg(least.alias("first"))
+    inner = prefixes.where("NOT ends").select("n", "h1", "h2").distinct()
+    return whole.join(inner, ["n", "h1", "h2"], "left_anti").select("first.c", "first.none", F.col("n").alias("n_turns"))
 
 
 def collapse_and_render(turns: DataFrame) -> DataFrame:
-    """conv_id, n_turns and rendered text of every maximal conversation."""
-    prefixes = prefix_hashes(turns)
-    kept = maximal(prefixes).withColumnRenamed("conv_id", "kept_id")
-    pieces = F.array_sort(F.collect_list(F.struct("n", rendered_turn(F.col("role"), F.col("text")).alias("piece"))))
-    lines = prefixes.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-    return lines.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.array_join(F.transform(pieces, lambda p: p.piece), "").alias("rendered"))
+    """conv_id, n_turns and rendered text of every maximal conversation.
+
+    The placed turns are a table: their hashes are read without the texts, and texts only of conversations that stay.
+    """
+    found = written(placed(turns), "chat-placed")
+    kept = written(maximal(written(prefix_hashes(found), "chat-prefixes")), "chat-kept")
+    pieces = F.array_sort(F.collect_list(F.struct("n", "piece")))
+    lines = found.select("c", "none", "n", "piece").join(kept, ["c", "none"])
+    rendered = lines.groupBy("c", "none").agg(F.max("n_turns").alias("n_turns"), F.array_join(F.transform(pieces, lambda p: p.piece), "").alias("rendered"))
+    return rendered.select(F.when(~F.col("none"), F.col("c")).alias("conv_id"), "n_turns", "rendered")
 
 
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
