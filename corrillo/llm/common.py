@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session has none (tests, a laptop) is one set, below the warehouse.
+    Only where the session has none and all runs on one machine (tests, a laptop) is one set, below the warehouse.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
