@@ -57,14 +57,15 @@ def test_repeated_spans(spark, rows):
     assert got == expected and any(x[1] for x in expected.values())
 
 
-def classes_by_force(rows):
+def classes_by_force(rows, augment=minhash.AUGMENT):
     sets = {}
     for i, t in rows:
         w = t.encode().translate(shingles.TO_WORDS).split()
         n = min(5, len(w))
         sets[i] = Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if w else Counter()
     df = Counter(k for s in sets.values() for k in s)
-    weigh = {k: float(minhash.idf(np.array(n), len(rows))) for k, n in df.items()}
+    top = 1 + math.log((1 + len(rows)) / 2)
+    weigh = {k: augment + (1 - augment) * (1 + math.log((1 + len(rows)) / (1 + n))) / top for k, n in df.items()}
     sets = {i: {k: 1 + math.log(n) for k, n in s.items()} for i, s in sets.items()}
     total = {i: sum(n * weigh[k] for k, n in s.items()) for i, s in sets.items()}
     label = {i: i for i in sets}
@@ -77,11 +78,23 @@ def classes_by_force(rows):
     return label
 
 
-@pytest.mark.parametrize("group_bytes", [minhash.GROUP_BYTES, 2000])
-def test_near_duplicates(spark, rows, monkeypatch, group_bytes):
+@pytest.mark.parametrize("group_bytes,augment", [(minhash.GROUP_BYTES, minhash.AUGMENT), (6000, 0.0), (2000, minhash.AUGMENT)])
+def test_near_duplicates(spark, rows, monkeypatch, group_bytes, augment):
+    """In whole groups, in buckets of single bands, and in blocks of buckets that are too large."""
     monkeypatch.setattr(minhash, "GROUP_BYTES", group_bytes)
-    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == classes_by_force(rows)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), augment).collect()}
+    assert got == classes_by_force(rows, augment)
+
+
+def test_one_row_of_each_class_stays(spark, rows):
+    """Repeated rows, different texts under one doc_id and rows without doc_id among them."""
+    texts = [t for _, t in rows]
+    docs = [(i, t, "a") for i, t in rows] + [(5, texts[5], "b"), (5, texts[5], "a"), (5, "alone here", "x"), (None, texts[9], "n"), (None, None, "n"), (None, None, "n")]
+    label = classes_by_force([*rows, (1000, "alone here"), (1001, "")])
+    classes = {label[i] for i, _ in rows} | {1000}
+    kept = minhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string, tag string")).collect()
+    assert len(kept) == len(classes) + 1  # and the null text
+    assert len({t["text"] for t in kept}) == len(kept)
 
 
 def test_weighted_samples_estimate_weighted_jaccard():
@@ -135,6 +148,38 @@ def test_quality_measures(spark, sf_dir):
         assert x["base_failed"] == failed and (x["kept"] <= (not failed))
 
 
+def test_verdicts(spark, sf_dir):
+    """kept, from the documented limits alone, over whole texts cut anew."""
+    import zstandard
+
+    ratio = lambda x: len(x) / len(zstandard.compress(x, 3))
+    limits = [(200, 0, 2.1), (400, 1.05, 2.15), (800, 1.2, 2.05), (1600, 1.38, 2.2), (3200, 1.38, 2.3), (6400, 1.38, 2.42), (12_800, 1.38, 2.5), (25_600, 1.38, 2.58), (131_072, 1.38, 2.7)]
+    texts = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    long = " ".join(texts[i] for i in sorted(texts) if len(texts[i]) > 3000)
+    texts |= {-1: long, -2: long[:140_000] + "x" * 70_000, -3: None, -4: texts[1][:2100] + "zq" * 900, -5: "a b " * 40}
+    got = {r["doc_id"]: (r["kept"], r["base_failed"]) for r in quality.measure(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    expected = {}
+    for i, text in texts.items():
+        data = (text or "").encode()
+        pieces = [data[k : k + 2048] for k in range(0, len(data) - 2047, 2048)]
+        if pieces and len(data) > 2048 * len(pieces):
+            pieces.append(data[-2048:])
+        odd = sum(ratio(x) < 1.3 or ratio(x) > 2.3 for x in pieces)
+        band = next(((a, b) for n, a, b in limits if len(data) < n), None)
+        fits = band is None or (data and band[0] <= ratio(data) <= band[1])
+        expected[i] = bool(not got[i][1] and fits and 5 * odd <= len(pieces)), got[i][1]
+    assert got == expected and sum(k for k, _ in got.values()) > 500 and sum(not k and not f for k, f in got.values()) > 10
+
+
+def test_bands_hold_what_good_texts_show(spark):
+    """The limits are those that the labels of the largest table give, no narrower and not much wider at the top."""
+    where = "/root/testdata/sf0.1"
+    found = {r["below"]: r for r in quality.observed_bands(table(spark, where, "documents"), table(spark, where, "labels")).collect()}
+    for below, low, high in quality.BANDS[1:-1]:
+        assert low <= found[below]["low"] and found[below]["high"] <= high
+        assert below < 800 or high < 1.07 * found[below]["high"]
+
+
 def test_bands_tell_junk_from_text():
     import zstandard
 
@@ -170,6 +215,19 @@ def test_classifier_holds_out_and_ranks(spark, sf_dir):
     assert np.mean([[g > b for b in bad] for g in good]) > 0.95
 
 
+def test_classifier_learns_repeated_rows_once(spark, sf_dir, monkeypatch):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    one = labels.where("doc_id % 5 = 1").limit(1).select("doc_id")
+    again = docs.join(one, "doc_id", "left_semi").selectExpr("explode(sequence(1, 500)) AS k", "*").drop("k")
+    assert np.allclose(classifier.fit(docs.union(again), labels).weights, classifier.fit(docs, labels).weights)
+    monkeypatch.setattr(classifier, "MAX_LABELLED", 50)
+    seen = []
+    monkeypatch.setattr(classifier, "fit_pairs", lambda found, good: seen.append(len(good)))
+    variants = docs.crossJoin(spark.range(3).withColumnRenamed("id", "v")).selectExpr("doc_id", "concat(text, ' v', v) AS text")
+    classifier.fit(variants, labels)
+    assert seen == [50]
+
+
 def test_classifier_with_one_kind_of_label():
     model = classifier.fit_pairs(np.ones((4, 3)), np.array([True] * 4))
     assert np.allclose(model.scores(np.ones((2, 3))), classifier.CUT)
@@ -188,6 +246,26 @@ def test_ring_is_balanced_and_moves_little(spark):
     assert sum(before[i] != s for i, s in after.items()) < 0.25 * len(after)
 
 
+def test_one_more_shard_moves_few_keys(spark):
+    """Of 40 shards to 41: a key in forty-one must move, twice that at most does, and few between old shards."""
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "'' AS text")
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.bounded_ring(docs, shards=n).collect()} for n in (40, 41))
+    moved = [i for i in before if before[i] != after[i]]
+    assert 1 / 41 <= len(moved) / len(before) < 2 / 41 and sum(after[i] != 40 for i in moved) < 0.03 * len(before)
+
+
+def test_hot_keys_and_equal_rows_on_the_ring(spark, monkeypatch):
+    """A third of all rows are equal, a third share a key, a third have none; places are gapless and counts even."""
+    monkeypatch.setattr(sharding, "CHUNK_ROWS", 64)
+    docs = spark.range(3000).selectExpr("CASE id % 3 WHEN 0 THEN 7 WHEN 1 THEN 8 END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
+    rows = sharding.bounded_ring(docs).collect()
+    places = defaultdict(list)
+    for r in rows:
+        places[r["shard"]].append(r["slot"])
+    assert {len(x) for x in places.values()} == {75} and all(sorted(x) == list(range(75)) for x in places.values())
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in rows) == Counter((r[0], zlib.crc32(r[1].encode())) for r in docs.collect())
+
+
 def test_walk_against_one_row_at_a_time():
     draw = random.Random(4)
     ring = sharding.Ring(tuple(draw.randrange(5) for _ in range(20)), tuple(draw.randrange(20) for _ in range(50)))
@@ -219,9 +297,26 @@ def test_loser_tree_merges_with_prefixes(lists):
 def test_anchors_stand_for_every_string():
     draw = np.random.default_rng(3)
     data = draw.integers(97, 100, 90_000).astype(np.uint8)
-    at, _, first, last = anchors.anchors_of(data)
+    at, first, last = anchors.anchors_of(data)
     assert first[0] == 0 and last[-1] == len(data) - anchors.SPAN and np.array_equal(first[1:], last[:-1] + 1)
     assert (at >= last).all() and (at + anchors.GRAM <= first + anchors.SPAN).all()
+    which, begins, ends, left = anchors.halves_of(at, first, last)
+    starts = np.sort(np.concatenate([np.arange(a, b + 1) for a, b in zip(begins, ends)]))
+    assert np.array_equal(starts, np.arange(len(data) - anchors.SPAN + 1))
+    core = at[which] - np.where(left, anchors.CORE - anchors.GRAM, 0)
+    assert (core >= ends).all() and (core + anchors.CORE <= begins + anchors.SPAN).all()
+
+
+def test_core_hashes_tell_cores_apart_and_spread_evenly():
+    draw = np.random.default_rng(4)
+    texts = [draw.integers(97, 101, 60_000).astype(np.uint8).tobytes() for _ in range(4)]
+    _, at, core, first, last, data, _ = anchors.anchors_of_all([*texts, texts[0]])
+    found = {}
+    for p, h, a in zip(at.tolist(), core.tolist(), first.tolist()):
+        begin = p if p - a <= anchors.HALF else p - (anchors.CORE - anchors.GRAM)
+        assert found.setdefault(h, data[begin : begin + anchors.CORE].tobytes()) == data[begin : begin + anchors.CORE].tobytes()
+    parts = np.bincount((np.unique(core) >> np.uint64(32)).astype(np.int64) * 85 >> 32, minlength=85)
+    assert parts.max() < 2 * parts.mean()
 
 
 def test_proximity_with_any_words_changed(spark):

@@ -1,10 +1,10 @@
 """Every operator on nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
+import gzip
 import html
 import html.entities
 import random
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +130,22 @@ def test_temporal_list(spark):
     assert urls.judged(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_hosts(spark):
+    urls_ = {"HTTP://User@Sub.Bad.Org.:80/a": "sub.bad.org", "https://[2001:DB8::1]:443/x": "[2001:db8::1]", "ftp://10.0.0.1/": "10.0.0.1", "bad.org/x": "", "mailto:a@bad.org": "", "http:///x": ""}
+    rows = spark.createDataFrame(list(urls_.items()), "u string, h string").select("h", urls.host_of(F.col("u")).alias("got"), urls.url_keys(F.col("u")).alias("keys")).collect()
+    assert all(r["h"] == r["got"] for r in rows)
+    keys = {r["h"]: r["keys"] for r in rows}
+    assert keys["sub.bad.org"] == ["sub.bad.org", "bad.org", "org", "sub.bad.org/a", "bad.org/a", "org/a"] and keys["10.0.0.1"] == ["10.0.0.1"] and keys["[2001:db8::1]"] == ["[2001:db8::1]", "[2001:db8::1]/x"]
+
+
+def test_read_list_and_clashing_columns(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("pattern,at,action,category\nBad.ORG.,2024-01-02,Add,x\nbad.org,2024-01-05 00:00:00,remove,x\n,2024-01-01,add,x\na.b,never,add,x\na.b/C,2024-01-01,add,y\na.b,2024-01-01,drop,x\n")
+    entries = urls.read_entries(spark, str(tmp_path / "list.csv"))
+    assert sorted((r["pattern"], r["action"]) for r in entries.collect()) == [("a.b/C", "add"), ("bad.org", "add"), ("bad.org", "remove")]
+    captures = spark.sql("SELECT 1 AS page_id, 'http://x.bad.org./' AS url, timestamp_ntz'2024-01-03 00:00:00' AS fetch_time, 'k' AS key, 'p' AS pattern, 7 AS copies, 's' AS salt, 'b' AS best")
+    assert [(r["blocked"], r["rule"]) for r in urls.judged(captures, entries).collect()] == [(True, "bad.org")]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_list_covers_every_flagged_host(spark, sf):
     """Whatever the top-level domain; spam-farm and adult-x but in their gaps."""
@@ -159,6 +175,39 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def record(kind, block, length=None, **headers):
+    lines = [f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in headers.items()), f"Content-Length: {len(block) if length is None else length}"]
+    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_real_files_are_derived(spark, tmp_path, zipped):
+    """Responses of a file with other records, junk between records and a record cut off; a gzip member a record."""
+    page = "HTTP/1.1 200 OK\r\nX-Y: z\r\n\r\n<title>Caf&eacute;</title><p>uno".encode()
+    records = [
+        record("warcinfo", b"software: x"), record("request", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", page, WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://a.example/", WARC_Date="2024-01-01T00:00:00Z"),
+        b"junk\r\n", record("Response", b"\xff<p>dos", WARC_Target_URI="http://b.example/"), record("response", b"<p>tres", length="many"), record("response", b"<p>cuatro", length=999)[:-4],
+    ]
+    (tmp_path / "f.warc").write_bytes(b"".join(gzip.compress(r) if zipped else r for r in records))
+    found = warc.read_warc(spark, str(tmp_path / "f.warc")).cache()
+    assert [(r["record_type"], r["problem"]) for r in found.collect()] == [("warcinfo", None), ("request", None), ("response", None), ("Response", None), ("response", "no length"), ("response", "block cut off")]
+    derived = warc.derive(warc.captured(found)).collect()
+    texts = {r["target_uri"]: r["block"] for r in derived if r["record_type"] == "conversion" and r["target_uri"]}
+    assert texts == {"http://a.example/": "Caf\u00e9\nuno", "http://b.example/": "\ufffd\ndos"} and len(derived) == 8
+    first = next(r for r in derived if r["refers_to"] == "<urn:uuid:1>" and r["record_type"] == "metadata")
+    assert "sourceHeader: X-Y: z\r\n" in first["block"] and first["warc_date"] == "2024-01-01T00:00:00Z"
+    assert sorted(r["block"] for r in derived if not r["target_uri"] and r["record_type"] == "conversion") == ["", "cuatro"]
+
+
+def test_damaged_files_give_what_is_there(spark, tmp_path):
+    whole = gzip.compress(record("response", b"<p>uno")) + gzip.compress(record("response", b"<p>dos" * 5000))
+    for name, data in {"cut": whole[:-20], "empty": b"", "none": b"no record at all", "headless": b"WARC/1.1\r\nWARC-Type: response"}.items():
+        (tmp_path / f"{name}.warc").write_bytes(data)
+    read = lambda name: [(r["record_type"], r["problem"]) for r in warc.read_warc(spark, str(tmp_path / f"{name}.warc")).collect()]
+    assert read("empty") == read("none") == [] and read("headless") == [("response", "headers cut off")] and read("cut")[0] == ("response", None)
+
+
 def test_all_character_references_are_decoded(spark):
     page = "<title>Caf&eacute; &middot; &#233;&#xE9;</title><p>&copy; host &middot; &lt;b&gt; &amp;copy; a&nbsp;&#160;&#xA0;b &#0160;c&#39;s &quot;q&quot; &#1600; &unknown; R&D &amp;nbsp;</p>"
     rows = {r["record_type"]: r["block"] for r in warc.derive(warc.responses(spark.createDataFrame([(1, "http://x.org/", page)], "page_id long, url string, html string"))).collect()}
@@ -166,15 +215,6 @@ def test_all_character_references_are_decoded(spark):
     assert rows["metadata"].startswith("title: Caf\u00e9 \u00b7 \u00e9\u00e9\r\n")
 
 
-def test_derivatives_against_sql_but_for_references(spark, sf_dir):
-    """Where the SQL's text has no reference left, the record is the same; elsewhere it is the SQL's text decoded."""
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf_dir}/pages.parquet'")
-    expected = con.execute(f"SELECT record_id, block FROM ({warc.OP10_SQL}) WHERE record_type = 'conversion'").fetchall()
-    found = {r["record_id"]: r["block"] for r in warc.op10_derivatives(spark, sf_dir).where("record_type = 'conversion'").collect()}
-    assert found == {i: b.replace("&copy;", "\u00a9").replace("&middot;", "\u00b7") for i, b in expected}
-
-
 def test_references_are_those_of_html(spark):
     draw = random.Random(7)
     parts = ["&", "&amp;", "&amp", "&notit;", "&ampcopy;", "&#", "&#x", "&#0;", "&#0128;", "&#x9F", "&#xD800;", "&#x1F600;", "&#65279;", "&#1114112;", "&#99999999999999999999;", "&#11;", "&#xFFFE;", "&#13;", "&Tab;", "&NewLine;", "&ngE;", ";", "x", " ", "9", "é", "&CounterClockwiseContourIntegral;", "&hearts", "&frac12"]
