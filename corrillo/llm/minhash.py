@@ -39,6 +39,7 @@ BANDS, ROWS = 12, 4
 #: near copies, frequent by definition, count for half of unique ones at least. 0 is the plain inverse document frequency.
 AUGMENT = 0.5
 BUCKET_BYTES = 8 << 20
+SAMPLED_ENTRIES = 1 << 17
 GROUP_BYTES = 24 << 20
 LEADERS = 16
 NO_ID = -(1 << 63)
@@ -99,6 +100,23 @@ def icws(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray, samples: in
     return out
 
 
+def blocks_of(starts: np.ndarray) -> list[tuple[int, int]]:
+    """Documents, by number, in blocks of about SAMPLED_ENTRIES shingles, a longer document by itself."""
+    cuts = [0]
+    while cuts[-1] < len(starts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(starts, starts[cuts[-1]] + SAMPLED_ENTRIES))))
+    return list(zip(cuts, cuts[1:]))
+
+
+def keys_of_documents(codes: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Band keys, a row per document; only a block's numbers are in memory at a time."""
+    out, ends = [np.empty((0, BANDS), np.int64)], np.append(starts, len(codes))
+    for i, j in blocks_of(starts):
+        own = slice(ends[i], ends[j])
+        out.append(band_keys(icws(codes[own], weights[own], starts[i:j] - starts[i], BANDS * ROWS)))
+    return np.concatenate(out)
+
+
 def band_keys(samples: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(samples), BANDS), U64)
     for band in range(BANDS):
@@ -139,7 +157,7 @@ def sample_bucket(n_docs: int, bits: int, augment: float):
         going = shared >= THRESHOLD * whole * (1 - 1e-6)
         own = going[number] & (whole > 0)[number]
         starts = np.flatnonzero(np.diff(number[own], prepend=-1) != 0)
-        keys = band_keys(icws(codes[own], weights[own], starts, BANDS * ROWS)) if len(starts) else np.empty((0, BANDS), np.int64)
+        keys = keys_of_documents(codes[own], weights[own], starts)
         at = dict(zip(number[own][starts].tolist(), range(len(starts))))
         ends = np.append(starts, own.sum())[1:]
         codes, weights, out = codes[own], weights[own], []
