@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from corrillo.llm.common import bucket_count, dealt, rows_of, table, text_bytes, unpacked
 from corrillo.llm.packing import pack, unpack
 
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 #: Text bytes whose words one owner encodes; words take about a fifth of that on their way, as a bucket sends each one once.
 OWNER_BYTES = 64 << 20
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,7 +55,6 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 _encoders: dict[str, tiktoken.Encoding] = {}
-_tokens: dict[str, dict[int, tuple[bytes, bytes]]] = {}
 
 
 def encoder(shared: Broadcast, name: str, pattern: str) -> tiktoken.Encoding:
@@ -66,14 +65,6 @@ def encoder(shared: Broadcast, name: str, pattern: str) -> tiktoken.Encoding:
     return _encoders[name]
 
 
-def token_table(shared: Broadcast, name: str) -> dict[int, tuple[bytes, bytes]]:
-    """Each id's decimal form and bytes, built once in a worker."""
-    if name not in _tokens:
-        _tokens.clear()
-        _tokens[name] = {i: (str(i).encode(), token) for token, i in shared.value.items()}
-    return _tokens[name]
-
-
 class Numbers(dict):
     """Numbers words in the order of their first appearance."""
 
@@ -133,7 +124,7 @@ def encode_words(shared: Broadcast, name: str, pattern: str):
     return run
 
 
-def put_together(shared: Broadcast, name: str, parts: int, pattern: str):
+def put_together(shared: Broadcast, parts: int, pattern: str):
     def run(bucket: pa.Table, answers: pa.Table) -> pa.Table:
         find, numbers = splitter(pattern).findall, Numbers()
         doc_ids, texts = bucket_texts(bucket)
@@ -141,7 +132,7 @@ def put_together(shared: Broadcast, name: str, parts: int, pattern: str):
         order, _ = by_owner([w.encode() for w in numbers], parts)
         rows = sorted(zip(*(answers[c].to_pylist() for c in ("part", "sizes", "ids"))))
         sizes, ids = (np.concatenate([np.empty(0, np.uint32), *(unpack(r[k], np.uint32) for r in rows)]) for k in (1, 2))
-        tokens = token_table(shared, name)
+        tokens = {i: (str(i).encode(), token) for token, i in shared.value.items()}  # not kept: a worker's memory is the tasks' of all stages
         n, listed, decoded = np.zeros(len(order), np.int64), [b""] * len(order), [b""] * len(order)
         n[order] = sizes
         ends, ids = np.cumsum(sizes).tolist(), ids.tolist()
@@ -169,7 +160,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
     shared, name = spark.sparkContext.broadcast(ranks), hashlib.sha256(b"".join(ranks)).hexdigest()  # as many entries as the vocabulary
     found = dealt(docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("long")), "bucket")
     answers = found.groupBy("bucket").applyInArrow(send_words(parts, pattern), SENT).groupBy("part").applyInArrow(encode_words(shared, name, pattern), ANSWERED)
-    return found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(put_together(shared, name, parts, pattern), RESULT)
+    return found.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(put_together(shared, parts, pattern), RESULT)
 
 
 def byte_bpe(docs: DataFrame) -> DataFrame:
