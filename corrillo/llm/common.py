@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,25 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one task of a Python stage holds at once.
 BUCKET_BYTES = 12 << 20
+#: Options of mallopt().
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD, M_ARENA_MAX = -1, -3, -8
+
+
+def return_freed_memory() -> None:
+    """From now on this process gives freed blocks of 256 KB and more back to the system.
+
+    By itself the C library raises that bound to 32 MB with use, and Arrow's pool keeps what it had; a Python worker stays
+    for the tasks of all stages, and would hold the largest of them beside the one that runs.
+    """
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):  # of the GNU library
+        for option, value in ((M_MMAP_THRESHOLD, 256 << 10), (M_TRIM_THRESHOLD, 1 << 20), (M_ARENA_MAX, 1)):
+            libc.mallopt(option, value)
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+if sys.platform == "linux" and "pyspark.worker" in sys.modules:  # this is a Python worker, not the driver
+    return_freed_memory()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
